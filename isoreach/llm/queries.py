@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from .chat import rotate_perspectives
 from .licenses import MIN_DICE, TEMPLATES, license_scan
 from .mixing import poisson_mix
+from .neardup import near_duplicates
+from .pieces import encode, token_counts
+from .quality import quality_rules
 from .shared import table
+from .substrings import repeated_substrings
 
 
 def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +25,42 @@ def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs).select("doc_id", "n_tokens", "round_trip", "ids")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_perspectives, op3_poisson_mix, op6_license_scan)}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeated_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, size=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality_rules(docs).drop("text", "lang", "source")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs).select("doc_id", "n_words", "n_tokens")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_perspectives, op3_poisson_mix, op5_sentencepiece, op6_license_scan, op7_substring_dedup, op8_near_duplicates,
+        op9_quality_rules, op10_token_counts,
+    )
+}
 
 _templates = ", ".join("('" + k.replace("'", "''") + "', '" + v.replace("'", "''") + "')" for k, v in TEMPLATES.items())
 
