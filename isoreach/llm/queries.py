@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import rotate_perspectives
+from .html import extract_main_text
 from .licenses import MIN_DICE, TEMPLATES, license_scan
 from .mixing import poisson_mix
 from .neardup import near_duplicates
+from .neighbours import nearest_neighbours
 from .pieces import encode, token_counts
 from .quality import quality_rules
 from .shared import table
@@ -21,10 +23,19 @@ def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "perspective", "part", "n_turns", "n_target_chars", "text", mask.alias("mask"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode(docs).select("doc_id", "n_tokens", "round_trip", "ids")
@@ -57,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_chat_perspectives, op3_poisson_mix, op5_sentencepiece, op6_license_scan, op7_substring_dedup, op8_near_duplicates,
+        op1_chat_perspectives, op2_html_extraction, op3_poisson_mix, op4_nearest_neighbours, op5_sentencepiece, op6_license_scan, op7_substring_dedup, op8_near_duplicates,
         op9_quality_rules, op10_token_counts,
     )
 }
