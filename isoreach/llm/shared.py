@@ -30,7 +30,9 @@ class Stash:
     def __init__(self, df: DataFrame, tag: str):
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/stash-{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
+        # the shuffle files of finished jobs go when the driver collects what refers to them
+        spark._jvm.System.gc()
         self.df = spark.read.schema(df.schema).parquet(self.path)
         self._at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._at.getFileSystem(spark._jsc.hadoopConfiguration())

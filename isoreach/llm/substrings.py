@@ -152,16 +152,28 @@ def repeated_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
     base = docs.drop(*names, "digest")
     text = F.coalesce("text", F.lit(""))
     keyed = base.withColumn("digest", F.unhex(F.sha2(text.cast("binary"), 256)))
-    distinct = keyed.where(F.octet_length(text) >= length).groupBy("digest").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    texts = Stash(distinct.select(F.monotonically_increasing_id().alias("tid"), "digest", "copies", F.col("text").cast("binary").alias("data")), "texts").df
-    runs = Stash(texts.select("tid", "data").mapInPandas(block_rows(length), "tid long, v long, lo int, hi int, times int, whole long"), "runs").df
+    long = keyed.where(F.octet_length(text) >= length).select("digest", F.col("text").cast("binary").alias("data"))
+    # texts of one row are not shuffled: only those of several rows are, for one of each
+    several = Stash(long.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    flagged = long.join(several.side(), "digest", "left")
+    once = flagged.where("copies is null").select("digest", F.lit(1).cast("long").alias("copies"), "data")
+    first = flagged.where("copies > 1").groupBy("digest").agg(F.first("copies").alias("copies"), F.first("data").alias("data"))
+    stored = Stash(once.union(first).select(F.monotonically_increasing_id().alias("tid"), "digest", "copies", "data"), "texts")
+    texts = stored.df
+    made = Stash(texts.select("tid", "data").mapInPandas(block_rows(length), "tid long, v long, lo int, hi int, times int, whole long"), "runs")
+    runs = made.df
     twice = runs.groupBy("v").agg(F.sum("times").alias("n")).where("n > 1").select("v")
-    held = Stash(runs.join(twice, "v").select("tid", "v", "lo", "hi", "whole"), "held").df
-    groups = Stash(held.groupBy("v", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "lo", "hi")).alias("one")), "groups")
+    kept = Stash(runs.join(twice, "v").select("tid", "v", "lo", "hi", "times", "whole"), "held")
+    made.drop()
+    held = kept.df
+    groups = Stash(held.groupBy("v", "whole").agg(F.count(F.lit(1)).alias("n"), F.max("times").alias("times"), F.min(F.struct("tid", "lo", "hi")).alias("one")), "groups")
+    # a gram whose runs are all equal has nothing left to tell apart
+    mixed_v = groups.df.groupBy("v").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.when(F.col("n") == 1, F.col("times"))).alias("own")).where("kinds > 1 or own > 1").select("v")
     equal = held.join(groups.df.where("n > 1").select("v", "whole"), ["v", "whole"]).select("tid", "lo", (F.col("hi") + length).alias("hi"))
-    ones = groups.df.select("one.*", F.least(F.col("n"), F.lit(2)).cast("int").alias("n"))
+    ones = groups.df.join(mixed_v, "v").select("one.*", F.least(F.col("n"), F.lit(2)).cast("int").alias("n"))
     by_text = Stash(ones.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("runs")), "by-text")
-    strings = Stash(texts.select("tid", "data").join(by_text.side(), "tid").mapInPandas(string_rows(length), "tid long, at int, h long, n int"), "strings").df
+    listed = Stash(texts.select("tid", "data").join(by_text.side(), "tid").mapInPandas(string_rows(length), "tid long, at int, h long, n int"), "strings")
+    strings = listed.df
     again = strings.groupBy("h").agg(F.sum("n").alias("m")).where("m > 1").select("h")
     hits = strings.where("n = 1").join(again, "h").select("tid", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
     spans = Stash(equal.union(hits).groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
@@ -170,6 +182,8 @@ def repeated_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
     cuts = single.mapInPandas(cut, shape)
     whole = texts.where("copies > 1").select("digest", F.octet_length("data").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), F.lit("").alias("kept_text"), F.array(F.struct(F.lit(0).alias("start"), F.octet_length("data").alias("end"))).alias("spans"))
     found = Stash(cuts.union(whole), "cuts")
+    for done in (several, stored, kept, groups, by_text, listed, spans):
+        done.drop()
     out = keyed.join(found.side(), "digest", "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     zero = F.lit(0).cast("long")
