@@ -76,7 +76,9 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] | None = None, mi
     # a set of n bigrams needs n + 1 words at least, and so a length of 2n + 1
     sized = units.where(F.length("body") >= 2 * -(-t * least // (200 - t)) + 1).withColumn("words", words_of(F.col("body")))
     sized = sized.where((F.size("words") - 1) * (200 - t) >= t * least)
-    grams = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    # the optimizer may evaluate this for units that the conditions drop, so the length is bounded here too
+    pairs = F.greatest(F.size("words") - 1, F.lit(0))
+    grams = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), pairs), F.slice("words", F.lit(2), pairs), lambda a, b: F.concat_ws(" ", a, b)))
     bounded = sized.select("doc_id", "unit", "unit_no", grams.alias("grams")).withColumn("n", F.size("grams"))
     bounded = bounded.where((F.col("n") * (200 - t) >= t * least) & (F.col("n") * t <= (200 - t) * most))
     near = F.filter(known, lambda k: (F.col("n") * (200 - t) >= t * k["size"]) & (F.col("n") * t <= (200 - t) * k["size"]))
