@@ -99,7 +99,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, block
     n_groups = max(1, -(-asked.count() // QUERIES))
     put = base.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)))
     put = put.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    sent = asked.withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long"))
+    sent = asked.withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
