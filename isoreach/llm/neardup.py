@@ -155,6 +155,7 @@ def components(edges: DataFrame) -> Stash:
         labels = Stash(step.df.select("node", F.col("new").alias("comp")), "labels")
         step.drop()
         if not changed:
+            both.drop()
             return labels
 
 
@@ -182,28 +183,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     base = docs.drop("n_shingles", "component_id", "kept", "nd_key")
     plain = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+", " "))
     keyed = base.withColumn("nd_key", F.unhex(F.sha2(plain.cast("binary"), 256)))
-    ids = Stash(keyed.select("doc_id", "nd_key"), "ids").df
-    reps = ids.where("doc_id is not null").groupBy("nd_key").agg(F.min("doc_id").alias("rep"))
-    # one text for each class of copies; least of equal word sequences, found by its smallest row
-    texts = keyed.where("doc_id is not null").select("nd_key", F.col("doc_id").alias("rep"), "text").join(reps, ["nd_key", "rep"]).dropDuplicates(["nd_key"])
-    sketch = Stash(texts.mapInPandas(sketched(size, k), "nd_key binary, rep long, n_shingles long, sketch binary, shingles binary"), "sketch")
+    used: list[Stash] = []
+
+    def stash(df: DataFrame, tag: str) -> Stash:
+        used.append(Stash(df, tag))
+        return used[-1]
+
+    ids = stash(keyed.select("doc_id", "nd_key"), "ids").df
+    # the text of a class of copies is read at its smallest row; only these texts are shuffled, to drop repeated rows
+    several = stash(ids.where("doc_id is not null").groupBy("nd_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("nd_key", "first"), "copies")
+    flagged = keyed.where("doc_id is not null").select("nd_key", F.col("doc_id").alias("rep"), "text").join(several.side(), "nd_key", "left")
+    once = flagged.where("first is null").select("nd_key", "rep", "text")
+    texts = once.union(flagged.where("rep = first").select("nd_key", "rep", "text").dropDuplicates(["nd_key"]))
+    sketch = stash(texts.mapInPandas(sketched(size, k), "nd_key binary, rep long, n_shingles long, sketch binary, shingles binary"), "sketch")
     width = 2 * rows
     bucketed = sketch.df.where("n_shingles > 0").select("rep", F.posexplode(F.array(*[F.xxhash64(F.substring("sketch", 1 + width * i, width), F.lit(i)) for i in range(bands)])).alias("band", "key"))
     shared = bucketed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    left = Stash(bucketed.join(shared, "key").select("key", "rep").distinct(), "buckets")
+    left = stash(bucketed.join(shared, "key").select("key", "rep").distinct(), "buckets")
     edges: list[DataFrame] = []
     labels: Stash | None = None
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         lean = lambda x: sketch.df.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"n_{x}"))
         met = pairs.distinct().join(lean("a"), "a").join(lean("b"), "b")
-        near = Stash(met.mapInPandas(estimated(percent, k), "a long, b long"), "near")
+        near = stash(met.mapInPandas(estimated(percent, k), "a long, b long"), "near")
         # sets are read for the documents of these pairs alone
-        named = Stash(near.df.select("a").union(near.df.select("b")).distinct().withColumnRenamed("a", "rep"), "named")
+        named = stash(near.df.select("a").union(near.df.select("b")).distinct().withColumnRenamed("a", "rep"), "named")
         sets = sketch.df.select("rep", F.col("shingles").alias("set")).join(named.side(), "rep")
         full = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"set_{x}"))
         out = near.df.join(full("a"), "a").join(full("b"), "b").mapInPandas(verified(percent), "a long, b long")
-        return Stash(out, "links").df
+        return stash(out, "links").df
 
     def labelled(rows_: DataFrame) -> DataFrame:
         if labels is None:
@@ -216,26 +225,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         return rows_.join(alive.select("key", F.col("c.rep").alias("center"), F.col("c.comp").alias("center_comp")), "key")
 
     for turn in range(star_rounds):
-        stars = Stash(open_buckets(labelled(left.df)), "stars")
+        stars = stash(open_buckets(labelled(left.df)), "stars")
         if not stars.df.limit(1).count():
             break
         edges.append(confirmed(stars.df.where("comp <> center_comp").select(F.col("center").alias("a"), F.col("rep").alias("b"))))
         labels = components(_all(edges))
-        left = Stash(stars.df.where("rep <> center").select("key", "rep"), "buckets")
+        used.append(labels)
+        left = stash(stars.df.where("rep <> center").select("key", "rep"), "buckets")
     else:
-        rest = Stash(open_buckets(labelled(left.df)).select("key", "rep", "comp"), "rest")
+        rest = stash(open_buckets(labelled(left.df)).select("key", "rep", "comp"), "rest")
         if rest.df.limit(1).count():
             other = rest.df.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
             pairs = rest.df.withColumnRenamed("rep", "a").join(other, "key").where("a < b and comp <> comp_b").select("a", "b")
             edges.append(confirmed(pairs))
             labels = components(_all(edges))
+            used.append(labels)
     found = sketch.df.select("nd_key", "rep", "n_shingles")
     if labels is not None:
         found = found.join(labels.df.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     else:
         found = found.withColumn("comp", F.lit(None).cast("long"))
-    found = Stash(found.select("nd_key", "n_shingles", F.coalesce("comp", "rep").alias("comp")), "classes").df
-    out = keyed.join(found, "nd_key", "left")
+    classes = Stash(found.select("nd_key", "n_shingles", F.coalesce("comp", "rep").alias("comp")), "classes")
+    for done in used:
+        done.drop()
+    out = keyed.join(classes.side(), "nd_key", "left")
     # an empty text is a class of its own document, not of all empty texts
     own = F.coalesce(F.col("n_shingles"), F.lit(0)) == 0
     component = F.when(own, F.col("doc_id")).otherwise(F.col("comp"))
