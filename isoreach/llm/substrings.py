@@ -15,6 +15,8 @@ from .shared import Stash
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 CODES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Length of a gram as a share of the strings: longer ones leave fewer runs to compare, and make more runs.
+GRAM = 0.5
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -66,7 +68,7 @@ def sliding(x: np.ndarray, w: int, ufunc: np.ufunc, pad: int) -> np.ndarray:
 def blocks(data: bytes, length: int) -> tuple[np.ndarray, ...]:
     """Runs of starts lo..hi of strings of the length that have the same least gram hash v: equal strings
     have equal v. Also the hash of all the run's bytes, and 2 for a run with its gram in two places."""
-    k = max(1, length // 4)
+    k = max(1, int(length * GRAM))
     w = length - k + 1
     roll = Rolling(data)
     grams = roll.all_of(k)
@@ -162,8 +164,9 @@ def repeated_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
     texts = stored.df
     made = Stash(texts.select("tid", "data").mapInPandas(block_rows(length), "tid long, v long, lo int, hi int, times int, whole long"), "runs")
     runs = made.df
-    twice = runs.groupBy("v").agg(F.sum("times").alias("n")).where("n > 1").select("v")
-    kept = Stash(runs.join(twice, "v").select("tid", "v", "lo", "hi", "times", "whole"), "held")
+    # written before the join, so that the shuffles of counting are gone when those of joining begin
+    twice = Stash(runs.groupBy("v").agg(F.sum("times").alias("n")).where("n > 1").select("v"), "twice")
+    kept = Stash(runs.join(twice.side(), "v").select("tid", "v", "lo", "hi", "times", "whole"), "held")
     made.drop()
     held = kept.df
     groups = Stash(held.groupBy("v", "whole").agg(F.count(F.lit(1)).alias("n"), F.max("times").alias("times"), F.min(F.struct("tid", "lo", "hi")).alias("one")), "groups")
@@ -174,15 +177,15 @@ def repeated_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
     by_text = Stash(ones.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("runs")), "by-text")
     listed = Stash(texts.select("tid", "data").join(by_text.side(), "tid").mapInPandas(string_rows(length), "tid long, at int, h long, n int"), "strings")
     strings = listed.df
-    again = strings.groupBy("h").agg(F.sum("n").alias("m")).where("m > 1").select("h")
-    hits = strings.where("n = 1").join(again, "h").select("tid", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
+    again = Stash(strings.groupBy("h").agg(F.sum("n").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("h"), "again")
+    hits = strings.where("n = 1").join(again.side(), "h").select("tid", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
     spans = Stash(equal.union(hits).groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
     single = texts.where("copies = 1").select("tid", "digest", "data").join(spans.side(), "tid").select("digest", "data", "spans")
     shape = "digest binary, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<start:int,end:int>>"
     cuts = single.mapInPandas(cut, shape)
     whole = texts.where("copies > 1").select("digest", F.octet_length("data").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), F.lit("").alias("kept_text"), F.array(F.struct(F.lit(0).alias("start"), F.octet_length("data").alias("end"))).alias("spans"))
     found = Stash(cuts.union(whole), "cuts")
-    for done in (several, stored, kept, groups, by_text, listed, spans):
+    for done in (several, stored, twice, kept, groups, by_text, listed, again, spans):
         done.drop()
     out = keyed.join(found.side(), "digest", "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
