@@ -21,6 +21,8 @@ BYTE_COST = 10.0
 LOWEST = -1e18
 #: Code points of words that advance together at most; bounds the memory of a step.
 STEP_CHARS = 1 << 18
+#: A worker keeps the ids of so many words of at most KEPT_CHARS code points, and then starts anew.
+KEPT_WORDS, KEPT_CHARS = 400_000, 32
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -79,15 +81,27 @@ class Pieces:
         keys = np.array([hash_of(t) for _, t, _ in normal], np.uint64)
         order = np.argsort(keys)
         self.keys, self.scores = keys[order], scores[order]
+        #: The first 20 bits of the keys: most hashes that are none of them need no search.
+        self.marked = np.zeros(1 << 20, bool)
+        self.marked[self.keys >> np.uint64(44)] = True
         self.ids = np.array([i for i, _, _ in normal], np.int64)[order]
         self.longest = max(len(t) for _, t, _ in normal)
         self.byte_score = float(scores.min()) - BYTE_COST
+        #: What each id spells.
+        self.spelled = [t.replace(SPACE, " ").encode() for t in self.texts]
+        for b, i in enumerate(self.bytes.tolist()):
+            self.spelled[i] = bytes([b])
+        self.kept: dict[str, list[int]] = {}
         self.scored = {t: float(s) for (_, t, _), s in zip(normal, scores)}
 
     def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per hash the index among the sorted keys, and whether it is there."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return at, self.keys[at] == hashes
+        at, there = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        likely = np.flatnonzero(self.marked[hashes >> np.uint64(44)])
+        sought = hashes[likely]
+        found = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
+        at[likely], there[likely] = found, self.keys[found] == sought
+        return at, there
 
 
 _loaded: dict[str, Pieces] = {}
@@ -150,15 +164,16 @@ def viterbi(chars: np.ndarray, p: Pieces) -> list[list[int]]:
             top, back, who = np.where(better, score, top), np.where(better, np.int16(size), back), np.where(better, p.ids[at], who)
         best[e], taken[e], piece[e] = top, back, who
     out: list[list[int]] = []
+    pieces_of, backs = piece.T.tolist(), taken.T.tolist()
     for row in range(m):
-        e, ids = n, []
+        e, ids, of_row, back_row = n, [], pieces_of[row], backs[row]
         while e:
-            if piece[e, row] < 0:
-                ids.extend(p.bytes[b] for b in reversed(spelled(chars[row, e - 1 : e])))
+            if of_row[e] < 0:
+                ids.extend(int(p.bytes[b]) for b in reversed(spelled(chars[row, e - 1 : e])))
             else:
-                ids.append(piece[e, row])
-            e -= int(taken[e, row])
-        out.append([int(i) for i in reversed(ids)])
+                ids.append(of_row[e])
+            e -= back_row[e]
+        out.append(ids[::-1])
     return out
 
 
@@ -177,11 +192,19 @@ def encode_words(distinct: list[str], p: Pieces) -> dict[str, list[int]]:
     return out
 
 
+def encode_anew(distinct: set[str], p: Pieces) -> dict[str, list[int]]:
+    """Ids by word, of which those of words met before in this worker are looked up."""
+    if len(p.kept) > KEPT_WORDS:
+        p.kept.clear()
+    found = {w: p.kept[w] for w in distinct if w in p.kept}
+    made = encode_words([w for w in distinct if w not in found], p)
+    p.kept.update((w, i) for w, i in made.items() if len(w) <= KEPT_CHARS)
+    return found | made
+
+
 def decode(ids, p: Pieces) -> str:
     """The text that the ids spell: bytes and pieces joined, marks as spaces, the first space dropped."""
-    value = {int(i): b for b, i in enumerate(p.bytes)}
-    spelled_out = b"".join(bytes([value[i]]) if i in value else p.texts[i].replace(SPACE, " ").encode() for i in map(int, ids))
-    return spelled_out.decode("utf-8", "replace")[1:]
+    return b"".join(map(p.spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 def parts(batches: Iterator[pd.DataFrame], chars: int = 1 << 21) -> Iterator[pd.DataFrame]:
@@ -207,7 +230,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
         p = loaded(model)
         for part in parts(batches):
             cut = [words(t) for t in part["text"]]
-            ids = encode_words(list({w for ws in cut for w in ws}), p)
+            ids = encode_anew({w for ws in cut for w in ws}, p)
             made = [[i for w in ws for i in ids[w]] for ws in cut]
             back = [decode(x, p) == (t or "") for x, t in zip(made, part["text"])]
             yield part.assign(ids=made, n_tokens=[len(x) for x in made], round_trip=back)
