@@ -14,9 +14,13 @@ def _placed(key: str, x: int, y: int) -> list[Column]:
     return [(((F.col(key) * x) % 10007).cast("double")/ F.lit(1000.0)).alias("lon"), (((F.col(key) * y) % 10009).cast("double")/ F.lit(1000.0)).alias("lat")]
 
 
-def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+def placed_demand(customers: DataFrame) -> DataFrame:
     weight = F.floor(F.abs("c_acctbal")).cast("long").alias("weight")
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("demand_id"), *_placed("c_custkey", 7919, 104729), weight)
+    return customers.select(F.col("c_custkey").alias("demand_id"), *_placed("c_custkey", 7919, 104729), weight)
+
+
+def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed_demand(table(spark, sf_dir, "customer"))
 
 
 def existing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,13 @@
 import pytest
 
 from isoreach.operators import cover, network, spatial
-from isoreach.plans.queries import ORACLE_SQL, QUERIES
+from isoreach.plans.registry import ORACLE_SQL, QUERIES
 from oracle import compare
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows_as_sql(spark, name):
     compare(spark, QUERIES[name], ORACLE_SQL[name], SF)
 
