@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,26 @@ def words_of(unit: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(unit, "\n", " "), " "), "")
 
 
+def anchors(sets: Mapping[str, list[str]], min_dice: int) -> list[str]:
+    """Words of which every unit that matches a template holds one.
+
+    A match shares at least min_dice / (200 - min_dice) of a template's bigrams, so it cannot lack all
+    of a set of them that is larger than the rest; words are taken until so many bigrams hold one,
+    by the number of these times the word's length, which prefers telling words over common ones.
+    """
+    chosen: list[str] = []
+    for grams in sets.values():
+        may_lack = len(grams) - -(-min_dice * len(grams) // (200 - min_dice))
+        left = [g.split() for g in grams if not set(g.split()) & set(chosen)]
+        while len(grams) - len(left) <= may_lack:
+            if not left:  # a match need not share any bigram
+                return []
+            best = min({w for g in left for w in g}, key=lambda w: (-len(w) * sum(w in g for g in left), w))
+            chosen.append(best)
+            left = [g for g in left if best not in g]
+    return chosen
+
+
 def license_scan(docs: DataFrame, templates: Mapping[str, str] | None = None, min_dice: int = MIN_DICE) -> DataFrame:
     """Find licenses in whole texts: each unit of a text that is a license template, but for small changes.
 
@@ -49,7 +71,8 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] | None = None, mi
     the whole text if it has two paragraphs or more. Blank means without a-z or 0-9. A unit matches a
     template if 100 * 2 * |A and B| >= min_dice * (|A| + |B|) for their sets of word bigrams, which
     needs |A| within min_dice / (200 - min_dice) of |B| either way; units outside these bounds for all
-    templates are dropped before bigrams are made, and templates outside them before sets are met.
+    templates are dropped before bigrams are made, and templates outside them before sets are met. So
+    are texts and units without any of the anchors, which no match is without.
 
     docs: doc_id, text; other columns are ignored. Returned per matching unit: doc_id, unit ("line",
     "paragraph", "text"), unit_no (from 0 among its kind, blank lines counted), license (the template of
@@ -63,7 +86,9 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] | None = None, mi
     known = F.array(*[F.struct(F.lit(k).alias("license"), F.split(F.lit("\t".join(v)), "\t").alias("bigrams"), F.lit(len(v)).alias("size")) for k, v in sets.items()])
     t = min_dice
     blank = F.lit("\n(?: ?\n)+")
-    base = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
+    words = anchors(sets, t)
+    anchored = lambda c: reduce(operator.or_, [c.contains(w) for w in words]) if words else F.lit(True)
+    base = docs.where(anchored(F.lower("text"))).select("doc_id", normalised(F.col("text")).alias("norm"))
     lines = F.split("norm", "\n")
     paragraphs = F.split(F.regexp_replace("norm", blank, F.lit("\r")), "\r")
     unit = "array<struct<unit:string,unit_no:int,body:string>>"
@@ -74,7 +99,7 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] | None = None, mi
     )
     units = base.select("doc_id", F.explode(made).alias("u")).select("doc_id", "u.*")
     # a set of n bigrams needs n + 1 words at least, and so a length of 2n + 1
-    sized = units.where(F.length("body") >= 2 * -(-t * least // (200 - t)) + 1).withColumn("words", words_of(F.col("body")))
+    sized = units.where(anchored(F.col("body"))).where(F.length("body") >= 2 * -(-t * least // (200 - t)) + 1).withColumn("words", words_of(F.col("body")))
     sized = sized.where((F.size("words") - 1) * (200 - t) >= t * least)
     # the optimizer may evaluate this for units that the conditions drop, so the length is bounded here too
     pairs = F.greatest(F.size("words") - 1, F.lit(0))
