@@ -49,7 +49,7 @@ def anchors(sets: Mapping[str, list[str]], min_dice: int) -> list[str]:
 
     A match shares at least min_dice / (200 - min_dice) of a template's bigrams, so it cannot lack all
     of a set of them that is larger than the rest; words are taken until so many bigrams hold one,
-    by the number of these times the word's length, which prefers telling words over common ones.
+    by the number of these times the cube of the word's length, which puts telling words before common ones.
     """
     chosen: list[str] = []
     for grams in sets.values():
@@ -58,7 +58,7 @@ def anchors(sets: Mapping[str, list[str]], min_dice: int) -> list[str]:
         while len(grams) - len(left) <= may_lack:
             if not left:  # a match need not share any bigram
                 return []
-            best = min({w for g in left for w in g}, key=lambda w: (-len(w) * sum(w in g for g in left), w))
+            best = min({w for g in left for w in g}, key=lambda w: (-(len(w) ** 3) * sum(w in g for g in left), w))
             chosen.append(best)
             left = [g for g in left if best not in g]
     return chosen
