@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,8 +85,8 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] | None = None, mi
     t = min_dice
     blank = F.lit("\n(?: ?\n)+")
     words = anchors(sets, t)
-    anchored = lambda c: reduce(operator.or_, [c.contains(w) for w in words]) if words else F.lit(True)
-    base = docs.where(anchored(F.lower("text"))).select("doc_id", normalised(F.col("text")).alias("norm"))
+    anchored = lambda c: F.arrays_overlap(F.split(c, "[ \n]"), F.array(*[F.lit(w) for w in words])) if words else F.lit(True)
+    base = docs.select("doc_id", normalised(F.col("text")).alias("norm")).where(anchored(F.col("norm")))
     lines = F.split("norm", "\n")
     paragraphs = F.split(F.regexp_replace("norm", blank, F.lit("\r")), "\r")
     unit = "array<struct<unit:string,unit_no:int,body:string>>"
