@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     component_id). Words are maximal runs without ASCII white space, A-Z in lower case; a text of fewer
     words than a shingle is one shingle, one without words is linked with nothing.
 
-    Texts with the same sequence of words are one class from the start, so copies never meet as pairs.
+    Texts with the same sequence of words in the same case are one class from the start, so copies never meet as pairs.
     Class representatives that share a band of compressed registers are candidates. In each of the star
     rounds a bucket's smallest member is paired with those members not yet in its component, then
     leaves; buckets within one component are done. What is left after them is paired in full, so no
@@ -181,7 +181,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     """
     k = bands * rows
     base = docs.drop("n_shingles", "component_id", "kept", "nd_key")
-    plain = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+", " "))
+    # single spaces stay as they are; texts that differ in case alone have equal registers and meet as candidates
+    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x09-\\x0D][\\x09-\\x0D ]*| [\\x09-\\x0D ]+", " "))
     keyed = base.withColumn("nd_key", F.unhex(F.sha2(plain.cast("binary"), 256)))
     used: list[Stash] = []
 
