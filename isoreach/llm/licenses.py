@@ -27,9 +27,13 @@ TEMPLATES = {
 MIN_DICE = 80
 
 
+def template_words(text: str) -> list[str]:
+    return "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split()
+
+
 def template_bigrams(text: str) -> list[str]:
     """Distinct word bigrams of the normalised text, as normalised() and bigrams() make them."""
-    words = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split()
+    words = template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
@@ -62,23 +66,84 @@ def anchors(sets: Mapping[str, list[str]], min_dice: int) -> list[str]:
     return chosen
 
 
+def license_runs(base: DataFrame, sets: Mapping[str, list[str]], lengths: Mapping[str, int], t: int) -> DataFrame:
+    """Licenses in runs of consecutive lines of base (doc_id, norm), blank lines between them left out.
+
+    For each template and line, of the runs from that line that have at most (200 - t) / t times the
+    template's words, the one of largest coefficient (of equal ones the shortest) stands if it matches.
+    In a text, taken by falling coefficient, a run goes that overlaps one taken before of the same template
+    or of at least half as many shared bigrams. Runs that are a line, a paragraph or the whole text go last.
+    """
+    known = F.array(*[
+        F.struct(F.lit(k).alias("license"), F.split(F.lit("\t".join(v)), "\t").alias("bigrams"), F.lit(len(v)).alias("size"),
+                 F.lit(-(-t * len(v) // (200 - t))).alias("need"), F.lit((200 - t) * lengths[k] // t).alias("most"))
+        for k, v in sets.items()])
+    blank = lambda x: F.trim(x) == ""
+    split = base.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("norm", "\n").alias("all"))
+    at = lambda n: F.get(F.col("all"), n)
+    line = lambda x, n: F.struct(
+        n.alias("no"), words_of(x).alias("words"), ((n == 0) | blank(at(n - 1))).alias("opens"), ((n == F.size("all") - 1) | blank(at(n + 1))).alias("closes"))
+    lines = split.where(F.size("all") > 1).select("doc_id", "row", F.filter(F.transform("all", line), lambda x: F.size(x["words"]) > 0).alias("lines"))
+    # one element a word, with its place among the lines that are not blank
+    word = lambda x, i: F.transform(x["words"], lambda w, j: F.struct(w.alias("w"), i.alias("i"), (j == 0).alias("starts"), x["no"].alias("no"), x["opens"].alias("opens"), x["closes"].alias("closes")))
+    flat = lines.select("doc_id", "row", F.size("lines").alias("n_lines"), F.flatten(F.transform("lines", word)).alias("flat")).where("n_lines > 1")
+    pairs = F.greatest(F.size("flat") - 1, F.lit(0))
+    grams = F.zip_with(F.slice("flat", F.lit(1), pairs), F.slice("flat", F.lit(2), pairs), lambda a, b: F.concat_ws(" ", a["w"], b["w"]))
+    made = flat.select("*", grams.alias("grams")).select("*", F.array_distinct("grams").alias("distinct"))
+    likely = F.filter(known, lambda k: (F.size("distinct") >= k["need"]) & (F.size(F.array_intersect(F.col("distinct"), k["bigrams"])) >= k["need"]))
+    each = made.select("doc_id", "row", "n_lines", "flat", "grams", F.size("distinct").alias("n_distinct"), F.explode(likely).alias("k"))
+    # a best run begins in a line that holds the first word of a template's bigram
+    places = F.filter(F.transform("flat", lambda x, i: F.when(x["starts"], i)), lambda x: x.isNotNull())
+    begun = F.array_distinct(F.transform(F.filter(F.transform("grams", lambda g, i: F.when(F.array_contains(F.col("k.bigrams"), g), i)), lambda x: x.isNotNull()), lambda i: F.get(F.col("flat"), i)["i"]))
+    placed = each.select("*", places.alias("places"), begun.alias("begun"))
+    ahead = F.transform("begun", lambda i: F.struct(
+        F.slice("grams", F.get(F.col("places"), i) + 1, F.col("k.most")).alias("grams"),
+        F.slice("flat", F.get(F.col("places"), i) + 1, F.col("k.most") + 1).alias("flat")))
+    ahead = F.filter(ahead, lambda c: F.size(F.array_intersect(c["grams"], F.col("k.bigrams"))) >= F.col("k.need"))
+    starts = placed.select("doc_id", "row", "n_lines", "k", "places", "begun", F.explode(ahead).alias("c")).select("doc_id", "row", "n_lines", "k", "c.grams", "c.flat")
+    # it ends with a whole line that holds the last word of one; the slice has one word more than a run may
+    ends = F.array_distinct(F.filter(
+        F.transform("grams", lambda g, i: F.when(F.array_contains(F.col("k.bigrams"), g), F.get(F.col("flat"), i + 1)["i"])),
+        lambda j: j.isNotNull() & ((F.size("flat") <= F.col("k.most")) | (j < F.element_at("flat", -1)["i"]))))
+    ended = starts.select("*", ends.alias("ends")).where("size(ends) > 0")
+    cut = F.transform("ends", lambda j: F.struct(j.alias("j"), F.size(F.filter("flat", lambda x: x["i"] <= j)).alias("n_words")))
+    cut = F.transform(cut, lambda c: F.struct(c["j"].alias("j"), c["n_words"].alias("n_words"), F.array_distinct(F.slice("grams", F.lit(1), F.greatest(c["n_words"] - 1, F.lit(0)))).alias("a")))
+    cut = F.transform(cut, lambda c: F.struct(c["j"].alias("j"), c["n_words"].alias("n_words"), F.size(c["a"]).alias("n"), F.size(F.array_intersect(c["a"], F.col("k.bigrams"))).alias("shared")))
+    cut = F.filter(cut, lambda c: 200 * c["shared"] >= t * (c["n"] + F.col("k.size")))
+    best = F.array_min(F.transform(cut, lambda c: F.struct((F.lit(-2.0) * c["shared"] / (c["n"] + F.col("k.size"))).alias("minus"), c["j"].alias("j"), c["n_words"].alias("n_words"), c["n"].alias("n"), c["shared"].alias("shared"))))
+    found = ended.select("doc_id", "row", "n_lines", "k", "flat", best.alias("b")).where("b is not null")
+    first, last = F.get(F.col("flat"), F.lit(0)), F.get(F.col("flat"), F.col("b.n_words") - 1)
+    whole = (first["i"] == 0) & (last["i"] == F.col("n_lines") - 1)
+    paragraph = first["opens"] & last["closes"] & (last["no"] - first["no"] == last["i"] - first["i"])
+    run = F.struct(
+        F.col("b.minus").alias("minus"), (-F.col("b.shared")).alias("less"), F.col("k.license").alias("license"), first["i"].alias("first"), last["i"].alias("last"), first["no"].alias("no"),
+        F.col("b.n").alias("n"), (whole | paragraph | (first["i"] == last["i"])).alias("unit"))
+    # one row a text: row tells equal rows and null ids apart
+    of_text = found.select("doc_id", "row", run.alias("r")).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    beaten = lambda kept, r: F.exists(kept, lambda x: (x["first"] <= r["last"]) & (r["first"] <= x["last"]) & ((x["license"] == r["license"]) | (2 * x["less"] <= r["less"])))
+    taken = F.aggregate("rs", F.slice("rs", 1, 1), lambda kept, r: F.when(beaten(kept, r), kept).otherwise(F.concat(kept, F.array(r))))
+    out = of_text.select("doc_id", F.explode(taken).alias("r")).where("not r.unit")
+    return out.select("doc_id", F.lit("run").alias("unit"), F.col("r.no").cast("long").alias("unit_no"), "r.license", F.col("r.n").cast("long").alias("n_bigrams"), (-F.col("r.less")).cast("long").alias("n_shared"), (-F.col("r.minus")).alias("dice"))
+
+
 def license_scan(docs: DataFrame, templates: Mapping[str, str] | None = None, min_dice: int = MIN_DICE) -> DataFrame:
     """Find licenses in whole texts: each unit of a text that is a license template, but for small changes.
 
     Units are every line; every paragraph, lines up to a blank one, that has two lines or more; and
-    the whole text if it has two paragraphs or more. Blank means without a-z or 0-9. A unit matches a
-    template if 100 * 2 * |A and B| >= min_dice * (|A| + |B|) for their sets of word bigrams, which
-    needs |A| within min_dice / (200 - min_dice) of |B| either way; units outside these bounds for all
+    the whole text if it has two paragraphs or more; and runs of consecutive lines that are none of these,
+    as license_runs() takes them. Blank means without a-z or 0-9. A unit matches a template
+    if 100 * 2 * |A and B| >= min_dice * (|A| + |B|) for their sets of word bigrams, which needs |A| within min_dice / (200 - min_dice) of |B| either way; units outside these bounds for all
     templates are dropped before bigrams are made, and templates outside them before sets are met. So
     are texts and units without any of the anchors, which no match is without.
 
     docs: doc_id, text; other columns are ignored. Returned per matching unit: doc_id, unit ("line",
-    "paragraph", "text"), unit_no (from 0 among its kind, blank lines counted), license (the template of
+    "paragraph", "text", "run"), unit_no (from 0 among its kind, blank lines counted; a run's first line), license (the template of
     largest coefficient, ties to the smaller name), n_bigrams and n_shared long, dice double. A null or
     empty text has no match; a null doc_id stays null; repeated rows and units are each returned; an
     empty table gives no rows.
     """
-    sets = {k: template_bigrams(v) for k, v in sorted((templates or TEMPLATES).items())}
+    bodies = templates or TEMPLATES
+    sets = {k: template_bigrams(v) for k, v in sorted(bodies.items())}
     sets = {k: v for k, v in sets.items() if v}
     least, most = min(map(len, sets.values())), max(map(len, sets.values()))
     known = F.array(*[F.struct(F.lit(k).alias("license"), F.split(F.lit("\t".join(v)), "\t").alias("bigrams"), F.lit(len(v)).alias("size")) for k, v in sets.items()])
@@ -110,7 +175,8 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] | None = None, mi
     # the order of the fraction 2 * shared / (n + size) as doubles, ties to the smaller name
     dice = lambda m: F.lit(2.0) * m["shared"] / (F.col("n") + m["size"])
     best = F.array_min(F.transform(hits, lambda m: F.struct((-dice(m)).alias("minus"), m["license"].alias("license"), m["shared"].alias("shared"))))
-    return bounded.withColumn("best", best).where("best is not null").select(
+    alone = bounded.withColumn("best", best).where("best is not null").select(
         "doc_id", "unit", F.col("unit_no").cast("long").alias("unit_no"), F.col("best.license").alias("license"),
         F.col("n").cast("long").alias("n_bigrams"), F.col("best.shared").cast("long").alias("n_shared"), (-F.col("best.minus")).alias("dice"),
     )
+    return alone.unionByName(license_runs(base, sets, {k: len(template_words(bodies[k])) for k in sets}, t))

@@ -151,6 +151,39 @@ def test_pieces(spark, docs, odd):
     assert counted == {(r.doc_id, r.text): r.n for r in encoded}
 
 
+def printed(text, cuts, prefix="", width=12):
+    """A template as files hold it: paragraphs that begin with the cuts, wrapped lines, a comment prefix."""
+    for c in cuts:
+        text = text.replace(c, "\0" + c)
+    wrapped = []
+    for part in text.split("\0"):
+        w = part.split()
+        wrapped.append("\n".join(prefix + " ".join(w[i : i + width]) for i in range(0, len(w), width)))
+    return f"\n{prefix.rstrip()}\n".join(x for x in wrapped if x)
+
+
+LICENSE_CUTS = {
+    "MIT-text": ("The above copyright", "THE SOFTWARE IS PROVIDED"), "Apache-2.0-header": ("http://www", "Unless required"),
+    "GPL-3.0-notice": ("This program is distributed", "You should have"), "BSD-2-Clause": ("1. Redis", "2. Redis", "THIS SOFTWARE"), "ISC": ("THE SOFTWARE IS PROVIDED",),
+}
+
+
+@pytest.mark.parametrize("prefix", ["", " * "])
+def test_license_of_several_paragraphs_in_a_longer_text(spark, prefix):
+    prose = "\n\n".join("\n".join(f"value {i} of the result is kept in row {j} and returned" for j in range(6)) for i in range(8))
+    names = sorted(LICENSE_CUTS)
+    body = {n: printed(licenses.TEMPLATES[n], LICENSE_CUTS[n], prefix) for n in names}
+    rows = [(i, f"Copyright (c) 2020 A. Writer\n\n{body[n]}\n\n{prose}") for i, n in enumerate(names)]
+    rows += [(10, f"{prose}\n\n{body['MIT-text']}\n\n{prose}\n\n{body['BSD-2-Clause']}\n{prose}"), (11, prose), (None, rows[0][1]), (None, rows[0][1])]
+    out = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.unit_no, r.license, r.n_shared, r.dice) for r in out.where("unit = 'run'").collect()), key=repr)
+    size = {n: len(licenses.template_bigrams(licenses.TEMPLATES[n])) for n in names}
+    start = lambda text, part: text.split("\n").index(part.split("\n")[0])
+    want = [(i, 2, n, size[n], 1.0) for i, n in enumerate(names)] + [(None, 2, names[0], size[names[0]], 1.0)] * 2
+    want += [(10, start(rows[len(names)][1], body[n]), n, size[n], 1.0) for n in ("MIT-text", "BSD-2-Clause")]
+    assert got == sorted(want, key=repr)
+
+
 def test_neighbours(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     good = [(r.vec_id, np.asarray(r.embedding, float)) for r in table.collect() if r.embedding and None not in r.embedding]
