@@ -184,6 +184,23 @@ def test_license_of_several_paragraphs_in_a_longer_text(spark, prefix):
     assert got == sorted(want, key=repr)
 
 
+def test_pieces_of_runs_of_spaces(spark):
+    """Whole texts, not cut, against the words that encode() cuts."""
+    p = pieces.loaded(pieces.MODEL)
+    assert not [t for t in p.scored if pieces.SPACE in t.lstrip(pieces.SPACE)]
+    texts = ["def f(x):\n    if x:\n        return  x   + 1", "a  b", "  a", "a   ", " ", " " * 40, "k" + " " * 17 + "v\n" + " " * 5 + "\t  ▁  z", "one two"]
+    texts += ["".join(random.Random(i).choice(["  ", " ", "   ", "ab", "the", "\n", "é"]) for _ in range(30)) for i in range(12)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    ids = {r.doc_id: r for r in pieces.encode(frame).collect()}
+    counts = {r.doc_id: r.n_tokens for r in pieces.token_counts(frame).collect()}
+    score = lambda ids: sum(p.byte_score if i in p.bytes else p.scored[p.texts[i]] for i in ids)
+    for i, text in enumerate(texts):
+        want = brute_viterbi(pieces.SPACE + text.replace(pieces.SPACE, "\ud800").replace(" ", pieces.SPACE), p)
+        assert ids[i].round_trip and counts[i] == ids[i].n_tokens == len(want)
+        assert score(ids[i].ids) == pytest.approx(score(want), abs=1e-9)
+    assert ids[5].n_tokens < 10
+
+
 def test_neighbours(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     good = [(r.vec_id, np.asarray(r.embedding, float)) for r in table.collect() if r.embedding and None not in r.embedding]
