@@ -147,8 +147,19 @@ def tour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.tour_distances(_stops(spark, sf_dir), legs.where("from_id % 2 = 0")).withColumn("distance_m", F.round("distance_m", 2))
 
 
+def _whole_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers, a tour for every 9 whose keys follow one another."""
+    return views.existing(spark, sf_dir).select(F.floor(F.col("facility_id") / 9).cast("long").alias("tour_id"), F.col("facility_id").alias("stop_id"), "lon", "lat")
+
+
+def whole_tour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tour_distances over all suppliers and all road legs; its SQL names the subset of that query."""
+    legs = matrix.directed_costs(_legs(spark, sf_dir)).select(F.col("origin").alias("from_id"), F.col("destination").alias("to_id"), F.col("cost").cast("double").alias("road"))
+    return matrix.tour_distances(_whole_stops(spark, sf_dir), legs).withColumn("distance_m", F.round("distance_m", 2))
+
+
 def tours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stops = _stops(spark, sf_dir)
+    stops = _whole_stops(spark, sf_dir)
     table = matrix.tour_distances(stops, spark.createDataFrame([], "from_id long, to_id long, road double"))
     depots = stops.groupBy("tour_id").agg(F.min("stop_id").alias("depot_id"))
     return solve.tours(table, depots).withColumn("length", F.round("length", 2))
@@ -156,7 +167,7 @@ def tours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     way_edges, simplified_edges, edge_speeds, density_factors, ranked_components, reachable_edges, predecessors, shortest_routes, candidate_pairs, distance_matrix,
-    cached_node_pairs, symmetric_costs, directed_costs, dense_matrix, closest_by_layer, route_comparison, tour_distances, tours)}
+    cached_node_pairs, symmetric_costs, directed_costs, dense_matrix, closest_by_layer, route_comparison, tour_distances, whole_tour_distances, tours)}
 
 
 def _km(a: str, b: str) -> str:

@@ -95,8 +95,8 @@ def falling_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small instances: the candidates below 48 by their remainder by 4, budgets 1 to 3."""
-    rows = _incidence(spark, sf_dir).where("facility_id < 48").withColumn("instance_id", F.col("facility_id") % 4)
+    """Small instances: every 12 candidates whose keys follow one another, budgets 1 to 3."""
+    rows = _incidence(spark, sf_dir).withColumn("instance_id", F.floor(F.col("facility_id") / 12).cast("long"))
     budgets = rows.select("instance_id").distinct().withColumn("budget", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
     return solve.exact_cover(rows, budgets).withColumn("solution", F.array_join("solution", ","))
 
@@ -112,8 +112,12 @@ def location_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facility_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _matrix(spark, sf_dir).withColumn("island", F.col("demand_id") % 5).withColumn("distance", F.col("distance").cast("double"))
-    return solve.facility_location(rows, 300.0)
+    """An island is a nation: all its suppliers and customers. Customers of a nation without suppliers reach none."""
+    places = lambda view, key, table, nation: view.join(views.table(spark, sf_dir, table).select(F.col(f"{table[0]}_{key}").alias(view.columns[0]), F.col(nation).alias("island")), view.columns[0])
+    sites = places(views.existing(spark, sf_dir), "suppkey", "supplier", "s_nationkey").select("island", F.col("facility_id").alias("site_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    rows = places(views.demand(spark, sf_dir), "custkey", "customer", "c_nationkey").join(sites, "island")
+    distance = F.floor(spatial.planar(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")) * 1000).cast("double")
+    return solve.facility_location(rows.select("island", "site_id", "demand_id", "weight", distance.alias("distance")), 300.0)
 
 
 QUERIES = {f.__name__: f for f in (
