@@ -56,6 +56,15 @@ def ranked_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.ranked_components(views.edges(spark, sf_dir).where("u % 5 <> 0 and v % 5 <> 0"))
 
 
+def whole_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """road_components over the whole edge table; its SQL names the subset of that query."""
+    return network.connected_components(views.edges(spark, sf_dir))
+
+
+def whole_ranked_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.ranked_components(views.edges(spark, sf_dir))
+
+
 def _reached(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = views.existing(spark, sf_dir).where("facility_id % 17 <> 0").select(F.col("facility_id").alias("source"))
     return network.bounded_distances(views.edges(spark, sf_dir), sources, 15.0)
@@ -75,6 +84,12 @@ def shortest_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", "node", F.array_join("path", ",").alias("path"))
 
 
+def whole_shortest_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shortest_routes to every reached node."""
+    via = network.predecessors(views.edges(spark, sf_dir), _reached(spark, sf_dir))
+    return network.routes(via, via).select("source", "node", F.array_join("path", ",").alias("path"))
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     def side(df: DataFrame, key: str, name: str) -> DataFrame:
         k = F.col(key)
@@ -166,7 +181,7 @@ def tours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    way_edges, simplified_edges, edge_speeds, density_factors, ranked_components, reachable_edges, predecessors, shortest_routes, candidate_pairs, distance_matrix,
+    way_edges, simplified_edges, edge_speeds, density_factors, ranked_components, whole_components, whole_ranked_components, reachable_edges, predecessors, shortest_routes, whole_shortest_routes, candidate_pairs, distance_matrix,
     cached_node_pairs, symmetric_costs, directed_costs, dense_matrix, closest_by_layer, route_comparison, tour_distances, whole_tour_distances, tours)}
 
 

@@ -5,7 +5,7 @@ import itertools
 
 import numpy as np
 
-from isoreach.operators import spatial
+from isoreach.operators import network, spatial
 from isoreach.plans import routing, selection, views
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +60,46 @@ def test_facility_location_of_all_sites(spark):
     away = lambda s, d: float(np.floor(np.hypot(place[s][0] - at[d][0], place[s][1] - at[d][1]) * 1000))
     for r in rows:
         assert nation[r.site_id] == r.island and abs(r.distance - min(away(s, r.demand_id) for s in opened[r.island])) <= 1
+
+
+def brute_components(pairs):
+    label, beside = {}, collections.defaultdict(set)
+    for u, v in pairs:
+        beside[u].add(v)
+        beside[v].add(u)
+    for start in sorted(beside):
+        todo = [] if start in label else [start]
+        while todo:
+            x = todo.pop()
+            if x not in label:
+                label[x] = start
+                todo.extend(beside[x])
+    return label
+
+
+def test_components_of_all_edges(spark):
+    pairs = [(r.u, r.v) for r in views.edges(spark, SF_100).collect()]
+    want = brute_components(pairs)
+    assert {r.node: r.component for r in routing.whole_components(spark, SF_100).collect()} == want
+    sizes = collections.Counter(want.values())
+    rank = {c: i for i, c in enumerate(sorted(sizes, key=lambda c: (-sizes[c], c)))}
+    assert {r.node: r.component_id for r in routing.whole_ranked_components(spark, SF_100).collect()} == {n: rank[c] for n, c in want.items()}
+
+
+def test_several_components(spark):
+    """A ring, a chain, a star, two pairs and nodes whose numbers divide by 5."""
+    pairs = [(i, (i + 1) % 9) for i in range(9)] + [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 212)] + [(305, 310), (7000, 401)]
+    want = brute_components(pairs)
+    assert len(set(want.values())) == 5
+    both = spark.createDataFrame([(u, v, 1.0) for a, b in pairs for u, v in ((a, b), (b, a))], "u long, v long, length double")
+    assert {r.node: r.component for r in network.connected_components(both).collect()} == want
+
+
+def test_routes_to_every_reached_node(spark):
+    length = {(r.u, r.v): r.length for r in views.edges(spark, SF).collect()}
+    want = {(r.source, r.node): r.distance for r in routing._reached(spark, SF).collect()}
+    got = {(r.source, r.node): [int(x) for x in r.path.split(",")] for r in routing.whole_shortest_routes(spark, SF).collect()}
+    assert set(got) == set(want) and any(n % 3 for _, n in got)
+    for (source, node), path in got.items():
+        assert path[0] == source and path[-1] == node
+        assert sum(length[e] for e in zip(path, path[1:])) == want[source, node]
