@@ -201,6 +201,18 @@ def test_pieces_of_runs_of_spaces(spark):
     assert ids[5].n_tokens < 10
 
 
+def test_license_variants_are_told_apart(spark):
+    work = "This work is licensed under the GNU %sGeneral Public License, version %s."
+    rows = [(work % ("", "3"), "GPL-3.0"), (work % ("", "2"), "GPL-2.0"), (work % ("Lesser ", "3"), "LGPL-3.0"), (work % ("Lesser ", "2.1"), "LGPL-2.1"), (work % ("Affero ", "3"), "AGPL-3.0")]
+    notice = licenses.TEMPLATES["GPL-3.0-notice"]
+    rows += [(notice, "GPL-3.0-notice"), (notice.replace("version 3", "version 2"), "GPL-2.0-notice-url"), (notice.replace("GNU General", "GNU Affero General"), "AGPL-3.0-notice")]
+    head, tail = licenses.TEMPLATES["BSD-2-Clause"].split("THIS SOFTWARE IS PROVIDED")
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    rows += [(f"{head}THIS SOFTWARE IS PROVIDED{tail}", "BSD-2-Clause"), (f"{head}{third} THIS SOFTWARE IS PROVIDED{tail}", "BSD-3-Clause")]
+    frame = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in licenses.license_scan(frame).collect()} == dict(enumerate(name for _, name in rows))
+
+
 def test_neighbours(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     good = [(r.vec_id, np.asarray(r.embedding, float)) for r in table.collect() if r.embedding and None not in r.embedding]
