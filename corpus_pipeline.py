@@ -43,7 +43,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mix_sources", mix), ("encode", tokens)]
 
-#: Three stages have no SQL; tests compare run() with a brute-force version.
+#: Three stages have no SQL; tests compare near_dedup and most rows of substring_dedup with brute force, and check only round trips of run().
 ORACLE_SQL = None
 
 
