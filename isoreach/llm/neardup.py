@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Stash
+from .shared import Aside, Stash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -138,28 +138,128 @@ def verified(percent: int):
     return work
 
 
-def components(edges: DataFrame) -> Stash:
-    """(node, comp): the smallest node reachable over the edges (a, b). Rounds of least labels of the
-    neighbours, then of the label's own label, until no label falls; every round is a written table."""
-    both = Stash(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = Stash(both.df.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+def merged(labels: Stash | None, links: DataFrame) -> Stash:
+    """(node, comp) after more links (a, b): the smallest node reachable. Only the graph whose nodes are the
+    labels so far is walked, in rounds of the least label of the neighbours and then of that label's own
+    label, until none falls; every round is a written table."""
+
+    def named(rows: DataFrame, x: str) -> DataFrame:
+        if labels is None:
+            return rows
+        return rows.join(labels.df.select(F.col("node").alias(x), F.col("comp").alias("of")), x, "left").withColumn(x, F.coalesce("of", x)).drop("of")
+
+    bare = named(named(links.select("a", "b"), "a"), "b").where("a <> b")
+    both = Stash(bare.union(bare.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    tops = Stash(both.df.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "tops")
     while True:
-        old = labels.df
+        old = tops.df
         near = both.df.join(old.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
         # the label of a node's label reaches as far as all rounds before it
         jump = old.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = old.join(near, "node").join(jump, "comp", "left").select("node", F.least("low", "comp", "far").alias("new"), F.col("comp").alias("was"))
-        step = Stash(new, "labels")
-        changed = step.df.where("new < was").limit(1).count()
-        labels.drop()
-        labels = Stash(step.df.select("node", F.col("new").alias("comp")), "labels")
-        step.drop()
-        if not changed:
-            both.drop()
-            return labels
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, star_rounds: int = 3) -> DataFrame:
+        new = old.join(near, "node").join(jump, "comp", "left").select("node", F.least("low", "comp", "far").alias("comp"), F.col("comp").alias("was"))
+        step = Stash(new, "tops")
+        tops.drop()
+        tops = step
+        if not step.df.where("comp < was").limit(1).count():
+            break
+    now = tops.df.select("node", "comp")
+    if labels is not None:
+        up = tops.df.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+        known = labels.df.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+        now = known.union(now.join(labels.df.select("node"), "node", "left_anti"))
+    out = Stash(now, "labels")
+    for done in (both, tops):
+        done.drop()
+    return out
+
+
+def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for at in range(0, len(b), 64):
+            part = b.iloc[at : at + 64]
+            sets = [np.frombuffer(x, np.int64) for x in part["shingles"]]
+            yield pd.DataFrame({"rep": np.repeat(part["rep"].to_numpy(), [len(s) for s in sets]), "shingle": np.concatenate(sets)})
+
+
+def confirmed(pairs: DataFrame, sketch: Stash, percent: int, k: int) -> Stash:
+    """Of candidate pairs (a, b) the links, by registers first and then by full sets."""
+    s = sketch.df
+    lean = lambda x: s.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    met = pairs.distinct().join(lean("a"), "a").join(lean("b"), "b")
+    near = Stash(met.mapInPandas(estimated(percent, k), "a long, b long"), "near")
+    # sets are read for the documents of these pairs alone
+    ends = Stash(near.df.select("a").union(near.df.select("b")).distinct().withColumnRenamed("a", "rep"), "named")
+    sets = s.select("rep", F.col("shingles").alias("set")).join(ends.side(), "rep")
+    full = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"set_{x}"))
+    out = Stash(near.df.join(full("a"), "a").join(full("b"), "b").mapInPandas(verified(percent), "a long, b long"), "links")
+    near.drop()
+    ends.drop()
+    return out
+
+
+def opened(rows: DataFrame, labels: Stash | None) -> Stash:
+    """Of the members (key, rep, n, weight) of buckets those of buckets with several components, with their
+    comp; the bucket's largest component, its heaviest member and its least n."""
+    if labels is None:
+        placed = rows.withColumn("comp", F.col("rep"))
+    else:
+        placed = rows.join(labels.df.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    of_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top"))
+    of_key = of_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.min("least").alias("least"), F.max("top").alias("top"), F.max(F.struct("size", (-F.col("comp")).alias("minus"))).alias("main"))
+    several = Stash(of_key.where("comps > 1").select("key", "least", (-F.col("top.minus")).alias("center"), (-F.col("main.minus")).alias("main_comp")), "several")
+    out = Stash(placed.join(several.side(), "key"), "open")
+    several.drop()
+    return out
+
+
+def linked(sketch: Stash, banded: DataFrame, percent: int, k: int) -> Stash | None:
+    """(node, comp) under the links between texts that share a band (key, rep); others are not in it.
+
+    First every bucket's center meets its other members: the one that shares most bands with others, which
+    in a group of copies is the text they come from or is near it, so that most of the group is one component.
+
+    What is then left are buckets of several components. A link within one has an end x outside the
+    bucket's largest component. With n shingles of x and least the smallest size in its buckets, a linked text has
+    need = percent * (n + least) / (100 + percent) of them at least. In the order of the number of texts left
+    that hold a shingle, the first one that two linked texts share stands at n - need + 1 at most in each. Such
+    places are joined: a text of a group that is changed too far has enough shingles of its own to fill
+    them, and meets few others instead of the whole group. No bucket, list or number of partners is capped.
+    """
+    met = banded.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    shared = Stash(banded.join(met, "key").select("key", "rep", "met"), "buckets")
+    if not shared.df.limit(1).count():
+        shared.drop()
+        return None
+    weight = shared.df.groupBy("rep").agg(F.sum("met").alias("weight")).join(sketch.df.select("rep", F.col("n_shingles").alias("n")), "rep")
+    rows = Stash(shared.df.select("key", "rep").join(weight, "rep"), "members")
+    shared.drop()
+    first = opened(rows.df, None)
+    stars = first.df.where(F.col("rep") != F.col("center")).select(F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b"))
+    links = confirmed(stars, sketch, percent, k)
+    labels = merged(None, links.df)
+    rest = opened(first.df.select("key", "rep", "n", "weight"), labels)
+    for done in (rows, first, links):
+        done.drop()
+    if rest.df.limit(1).count():
+        outer = rest.df.groupBy("rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.min("least").alias("least"), F.max(F.col("comp") != F.col("main_comp")).alias("outside"))
+        texts = Stash(outer, "texts")
+        held = Stash(sketch.df.join(texts.side("rep"), "rep").select("rep", "shingles").mapInPandas(listed, "rep long, shingle long"), "shingles")
+        times = Stash(held.df.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "times")
+        own = held.df.join(texts.side(), "rep").join(times.df, "shingle", "left")
+        by_rarity = Window.partitionBy("rep").orderBy(F.coalesce("times", F.lit(1)), "shingle")
+        enough = lambda n, m: f"{100 + percent} * ({n} - place + 1) >= {percent} * ({n} + {m})"
+        rare = Stash(own.withColumn("place", F.row_number().over(by_rarity)).where(enough("n", "least")).where("times > 1").select("rep", "shingle", "place", "n", "comp", "outside"), "rare")
+        sought = rare.df.where("outside").select("shingle", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"), F.col("place").alias("a_place"))
+        pairs = rare.df.join(sought, "shingle").where("comp <> a_comp").where(enough("n", "a_n")).where(enough("a_n", "n").replace("- place", "- a_place"))
+        links = confirmed(pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")), sketch, percent, k)
+        before, labels = labels, merged(labels, links.df)
+        for done in (texts, held, times, rare, links, before):
+            done.drop()
+    rest.drop()
+    return labels
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The class of each document under links between texts whose sets of word shingles have a Jaccard
     coefficient of percent / 100 or more.
 
@@ -169,96 +269,44 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     words than a shingle is one shingle, one without words is linked with nothing.
 
     Texts with the same sequence of words in the same case are one class from the start, so copies never meet as pairs.
-    Class representatives that share a band of compressed registers are candidates. In each of the star
-    rounds a bucket's smallest member is paired with those members not yet in its component, then
-    leaves; buckets within one component are done. What is left after them is paired in full, so no
-    bucket is capped. A pair is dropped by the corrected register estimate only SLACK deviations under
-    the threshold, and confirmed on the full sets.
+    Class representatives that share a band of compressed registers are candidates, which linked() compares.
+    A pair is dropped by the corrected register estimate only SLACK deviations under the threshold, and
+    confirmed on the full sets, held as 64-bit hashes of the shingles.
 
     A null doc_id is in no class (component_id null, kept true). Rows that repeat a doc_id with equal texts
-    are one document, each kept if the doc_id is; differing texts of one doc_id are judged each by its own
-    class. Columns with the names returned are replaced. An empty table gives no rows.
+    are one document, each kept if the doc_id is; differing texts of one doc_id are one document too, linked
+    with what either links with. A text of any length is cut and hashed in one task, at about 100 bytes a word; its set then takes
+    8 bytes a shingle. Links are symmetric, so ties do not arise. Columns with the names returned are
+    replaced; others may have any name. An empty table gives no rows.
     """
     k = bands * rows
-    base = docs.drop("n_shingles", "component_id", "kept", "nd_key")
+    given = Aside(docs, ("n_shingles", "component_id", "kept"))
     # single spaces stay as they are; texts that differ in case alone have equal registers and meet as candidates
-    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x09-\\x0D][\\x09-\\x0D ]*| [\\x09-\\x0D ]+", " "))
-    keyed = base.withColumn("nd_key", F.unhex(F.sha2(plain.cast("binary"), 256)))
-    used: list[Stash] = []
-
-    def stash(df: DataFrame, tag: str) -> Stash:
-        used.append(Stash(df, tag))
-        return used[-1]
-
-    ids = stash(keyed.select("doc_id", "nd_key"), "ids").df
+    plain = F.trim(F.regexp_replace(F.coalesce(given.col("text"), F.lit("")), "[\\x09-\\x0D][\\x09-\\x0D ]*| [\\x09-\\x0D ]+", " "))
+    keyed = given.df.withColumns({"doc_id": given.col("doc_id"), "nd_key": F.unhex(F.sha2(plain.cast("binary"), 256))})
+    ids = Stash(keyed.select("doc_id", "nd_key"), "ids")
     # the text of a class of copies is read at its smallest row; only these texts are shuffled, to drop repeated rows
-    several = stash(ids.where("doc_id is not null").groupBy("nd_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("nd_key", "first"), "copies")
-    flagged = keyed.where("doc_id is not null").select("nd_key", F.col("doc_id").alias("rep"), "text").join(several.side(), "nd_key", "left")
+    several = Stash(ids.df.where("doc_id is not null").groupBy("nd_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("nd_key", "first"), "copies")
+    ids.drop()
+    flagged = keyed.where("doc_id is not null").select("nd_key", F.col("doc_id").alias("rep"), given.col("text").alias("text")).join(several.side(), "nd_key", "left")
     once = flagged.where("first is null").select("nd_key", "rep", "text")
     texts = once.union(flagged.where("rep = first").select("nd_key", "rep", "text").dropDuplicates(["nd_key"]))
-    sketch = stash(texts.mapInPandas(sketched(size, k), "nd_key binary, rep long, n_shingles long, sketch binary, shingles binary"), "sketch")
+    sketch = Stash(texts.mapInPandas(sketched(size, k), "nd_key binary, rep long, n_shingles long, sketch binary, shingles binary"), "sketch")
     width = 2 * rows
-    bucketed = sketch.df.where("n_shingles > 0").select("rep", F.posexplode(F.array(*[F.xxhash64(F.substring("sketch", 1 + width * i, width), F.lit(i)) for i in range(bands)])).alias("band", "key"))
-    shared = bucketed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    left = stash(bucketed.join(shared, "key").select("key", "rep").distinct(), "buckets")
-    edges: list[DataFrame] = []
-    labels: Stash | None = None
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        lean = lambda x: sketch.df.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-        met = pairs.distinct().join(lean("a"), "a").join(lean("b"), "b")
-        near = stash(met.mapInPandas(estimated(percent, k), "a long, b long"), "near")
-        # sets are read for the documents of these pairs alone
-        named = stash(near.df.select("a").union(near.df.select("b")).distinct().withColumnRenamed("a", "rep"), "named")
-        sets = sketch.df.select("rep", F.col("shingles").alias("set")).join(named.side(), "rep")
-        full = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"set_{x}"))
-        out = near.df.join(full("a"), "a").join(full("b"), "b").mapInPandas(verified(percent), "a long, b long")
-        return stash(out, "links").df
-
-    def labelled(rows_: DataFrame) -> DataFrame:
-        if labels is None:
-            return rows_.withColumn("comp", F.col("rep"))
-        known = labels.df.select(F.col("node").alias("rep"), F.col("comp"))
-        return rows_.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-
-    def open_buckets(rows_: DataFrame) -> DataFrame:
-        alive = rows_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("rep", "comp")).alias("c")).where("low < high")
-        return rows_.join(alive.select("key", F.col("c.rep").alias("center"), F.col("c.comp").alias("center_comp")), "key")
-
-    for turn in range(star_rounds):
-        stars = stash(open_buckets(labelled(left.df)), "stars")
-        if not stars.df.limit(1).count():
-            break
-        edges.append(confirmed(stars.df.where("comp <> center_comp").select(F.col("center").alias("a"), F.col("rep").alias("b"))))
-        labels = components(_all(edges))
-        used.append(labels)
-        left = stash(stars.df.where("rep <> center").select("key", "rep"), "buckets")
-    else:
-        rest = stash(open_buckets(labelled(left.df)).select("key", "rep", "comp"), "rest")
-        if rest.df.limit(1).count():
-            other = rest.df.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = rest.df.withColumnRenamed("rep", "a").join(other, "key").where("a < b and comp <> comp_b").select("a", "b")
-            edges.append(confirmed(pairs))
-            labels = components(_all(edges))
-            used.append(labels)
+    banded = sketch.df.where("n_shingles > 0").select("rep", F.explode(F.array(*[F.xxhash64(F.substring("sketch", 1 + width * i, width), F.lit(i)) for i in range(bands)])).alias("key"))
+    labels = linked(sketch, banded, percent, k)
     found = sketch.df.select("nd_key", "rep", "n_shingles")
     if labels is not None:
         found = found.join(labels.df.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     else:
         found = found.withColumn("comp", F.lit(None).cast("long"))
     classes = Stash(found.select("nd_key", "n_shingles", F.coalesce("comp", "rep").alias("comp")), "classes")
-    for done in used:
-        done.drop()
+    for done in (several, sketch, labels):
+        if done is not None:
+            done.drop()
     out = keyed.join(classes.side(), "nd_key", "left")
     # an empty text is a class of its own document, not of all empty texts
     own = F.coalesce(F.col("n_shingles"), F.lit(0)) == 0
-    component = F.when(own, F.col("doc_id")).otherwise(F.col("comp"))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), component)).withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long")))
-    return out.select(*base.columns, "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out
+    component = F.when(F.col("doc_id").isNotNull(), F.when(own, F.col("doc_id")).otherwise(F.col("comp")))
+    shown = out.select(*given.back(), F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return shown

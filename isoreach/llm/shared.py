@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A join side is broadcast only when its measured rows take at most this many bytes.
@@ -13,14 +13,13 @@ BROADCAST_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or the one a caller has set on the context
+    where that setting is absent (as tests do). There is no fallback: a machine's own folder would lose rows."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="isoreach-"))
-    return sc.getCheckpointDir().rstrip("/")
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named.rstrip("/")
 
 
 class Stash:
@@ -52,5 +51,23 @@ class Stash:
         self._fs.delete(self._at, True)
 
 
+class Aside:
+    """A caller's rows under names of their own (in_0, in_1, ...), so that no column of theirs can meet one
+    of an operator's. The columns in replaced are left out, since the operator returns its own of that name."""
+
+    def __init__(self, rows: DataFrame, replaced: Iterable[str] = ()):
+        gone = set(replaced)
+        self.names = [c for c in rows.columns if c not in gone]
+        self.at = {c: f"in_{i}" for i, c in enumerate(self.names)}
+        self.df = rows.drop(*gone).toDF(*self.at.values())
+
+    def col(self, name: str) -> Column:
+        return F.col(self.at[name])
+
+    def back(self) -> list[Column]:
+        """The columns under the caller's names."""
+        return [F.col(made).alias(name) for name, made in self.at.items()]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -99,7 +99,24 @@ def test_near_duplicate_chains(spark):
     base = [f"w{i}" for i in range(120)]
     rows = [(100 * g + k, " ".join([f"g{g}"] + base[:20] + [f"g{g}k{j}" if j < 6 * k else base[j] for j in range(20, 120)])) for g in range(3) for k in range(15)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = neardup.near_duplicates(frame, size=2, star_rounds=1).select("doc_id", "n_shingles", "component_id", "kept")
+    got = neardup.near_duplicates(frame, size=2).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(map(tuple, got.collect())) == brute_classes(rows)
+
+
+def test_near_duplicates_of_a_group_of_changed_copies(spark):
+    """Copies of one text, a third of them changed too far to link, with and without the text itself; and sizes that differ."""
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+
+    def changed(tag, share):
+        out = list(base)
+        for j in rnd.sample(range(150), int(150 * share)):
+            out[j] = f"{tag}x{j}"
+        return " ".join(out[: 150 - rnd.randrange(4)])
+
+    rows = [(i, changed(i, rnd.choice([0.01, 0.03, 0.05, 0.07, 0.09]))) for i in range(120)]
+    rows += [(500 + i, " ".join(base[i:])) for i in range(0, 100, 5)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).select("doc_id", "n_shingles", "component_id", "kept")
     assert sorted(map(tuple, got.collect())) == brute_classes(rows)
 
 
