@@ -146,9 +146,10 @@ def brute_viterbi(word, p):
         c = (pieces.SPACE if word[e - 1] == "\ud800" else word[e - 1]).encode()
         top = (best[e - 1][0] + len(c) * p.byte_score, best[e - 1][1] + [int(p.bytes[b]) for b in c])
         for s in range(1, min(p.longest, e) + 1):
-            score = p.scored.get(word[e - s : e])
-            if score is not None and best[e - s][0] + score >= top[0]:
-                top = (best[e - s][0] + score, best[e - s][1] + [p.texts.index(word[e - s : e])])
+            if word[e - s : e] in p.scored:
+                score = p.scored[word[e - s : e]][0]
+                if best[e - s][0] + score >= top[0]:
+                    top = (best[e - s][0] + score, best[e - s][1] + [p.texts.index(word[e - s : e])])
         best.append(top)
     return best[-1][1]
 
@@ -156,11 +157,14 @@ def brute_viterbi(word, p):
 def test_pieces(spark, docs, odd):
     p = pieces.loaded(pieces.MODEL)
     words = sorted({w for r in docs.limit(8).collect() for w in pieces.words(r.text)})[::7] + pieces.words("a  b ▁x\n\t𝔘 漢")
-    ids = pieces.encode_words(words, p)
+    cut = pieces.Words([r.text for r in docs.limit(60).collect()] + ["a  b ▁x\n\t𝔘 漢", None, ""])
+    made, start, count = pieces.encode_words(cut, p)
+    by_word = {cut.word(i): made[start[i] : start[i] + count[i]].tolist() for i in range(len(cut.first))}
+    assert len(by_word) == len(cut.first)
     counts = pieces.trie_counts(sorted(set(words)), p)
     for w in words:
-        assert ids[w] == brute_viterbi(w, p)
-        assert counts[w] == len(ids[w])
+        assert by_word[w] == pieces.viterbi_of_one(w, p) == brute_viterbi(w, p)
+        assert counts[w] == len(by_word[w])
     both = docs.unionByName(odd)
     encoded = pieces.encode(both).groupBy("doc_id", "text").agg(F.max("n_tokens").alias("n"), F.min("round_trip").alias("ok")).collect()
     counted = {(r.doc_id, r.text): r.n_tokens for r in pieces.token_counts(both).collect()}
@@ -210,7 +214,7 @@ def test_pieces_of_runs_of_spaces(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     ids = {r.doc_id: r for r in pieces.encode(frame).collect()}
     counts = {r.doc_id: r.n_tokens for r in pieces.token_counts(frame).collect()}
-    score = lambda ids: sum(p.byte_score if i in p.bytes else p.scored[p.texts[i]] for i in ids)
+    score = lambda ids: sum(p.byte_score if i in p.bytes else p.scored[p.texts[i]][0] for i in ids)
     for i, text in enumerate(texts):
         want = brute_viterbi(pieces.SPACE + text.replace(pieces.SPACE, "\ud800").replace(" ", pieces.SPACE), p)
         assert ids[i].round_trip and counts[i] == ids[i].n_tokens == len(want)
@@ -218,6 +222,18 @@ def test_pieces_of_runs_of_spaces(spark):
     assert ids[5].n_tokens < 10
 
 
+def test_pieces_of_very_long_words(spark):
+    """Unbroken words go one by one, in seconds, and give the sum of scores of any cut."""
+    p = pieces.loaded(pieces.MODEL)
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdefgh漢é=") for _ in range(200_000)), "=" * 100_000, "x " * 3 + "y" * 70]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    ids = {r.doc_id: r for r in pieces.encode(frame).collect()}
+    counts = {r.doc_id: r.n_tokens for r in pieces.token_counts(frame).collect()}
+    assert all(r.round_trip and counts[i] == r.n_tokens for i, r in ids.items())
+    assert ids[2].ids == [i for w in pieces.words(texts[2]) for i in brute_viterbi(w, p)]
+
+
 def test_license_variants_are_told_apart(spark):
     work = "This work is licensed under the GNU %sGeneral Public License, version %s."
     rows = [(work % ("", "3"), "GPL-3.0"), (work % ("", "2"), "GPL-2.0"), (work % ("Lesser ", "3"), "LGPL-3.0"), (work % ("Lesser ", "2.1"), "LGPL-2.1"), (work % ("Affero ", "3"), "AGPL-3.0")]
