@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Stash
+
 #: The wording of public licenses and of their usual notices, by identifier.
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -79,6 +83,29 @@ def anchors(sets: Mapping[str, list[str]], min_dice: int) -> list[str]:
     return chosen
 
 
+def clauses(grams: list[str], min_dice: int) -> list[list[str]]:
+    """Disjoint lists of words, of each of which every unit that matches the template holds one.
+
+    As with anchors(), a match cannot lack all words of a list if the bigrams that hold none of them are
+    fewer than it shares. Lists are drawn up from the longest words on, for as long as words are left.
+    """
+    pairs = [set(g.split()) for g in grams]
+    may_lack = len(pairs) - -(-min_dice * len(pairs) // (200 - min_dice))
+    out: list[list[str]] = []
+    while True:
+        chosen: list[str] = []
+        left = pairs
+        while len(pairs) - len(left) <= may_lack:
+            free = {w for g in left for w in g}.difference(*out)
+            if not free:
+                return out
+            chosen.append(min(free, key=lambda w: (-(len(w) ** 3) * sum(w in g for g in left), w)))
+            left = [g for g in left if chosen[-1] not in g]
+        if not chosen:  # a match need not share any bigram
+            return out
+        out.append(chosen)
+
+
 def license_runs(base: DataFrame, sets: Mapping[str, list[str]], lengths: Mapping[str, int], t: int) -> DataFrame:
     """Licenses in runs of consecutive lines of base (doc_id, norm), blank lines between them left out.
 
@@ -147,13 +174,14 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] | None = None, mi
     as license_runs() takes them. Blank means without a-z or 0-9. A unit matches a template
     if 100 * 2 * |A and B| >= min_dice * (|A| + |B|) for their sets of word bigrams, which needs |A| within min_dice / (200 - min_dice) of |B| either way; units outside these bounds for all
     templates are dropped before bigrams are made, and templates outside them before sets are met. So
-    are texts and units without any of the anchors, which no match is without.
+    are texts that lack the words of all templates' clauses(), before anything is made of them, and units
+    without any of the anchors(), which no match is without.
 
     docs: doc_id, text; other columns are ignored. Returned per matching unit: doc_id, unit ("line",
     "paragraph", "text", "run"), unit_no (from 0 among its kind, blank lines counted; a run's first line), license (the template of
     largest coefficient, ties to the smaller name), n_bigrams and n_shared long, dice double. A null or
     empty text has no match; a null doc_id stays null; repeated rows and units are each returned; an
-    empty table gives no rows.
+    empty table gives no rows. A text of any length is held as its lines, its paragraphs and once whole.
     """
     bodies = templates or TEMPLATES
     sets = {k: template_bigrams(v) for k, v in sorted(bodies.items())}
@@ -164,7 +192,14 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] | None = None, mi
     blank = F.lit("\n(?: ?\n)+")
     words = anchors(sets, t)
     anchored = lambda c: F.arrays_overlap(F.split(c, "[ \n]"), F.array(*[F.lit(w) for w in words])) if words else F.lit(True)
-    base = docs.select("doc_id", normalised(F.col("text")).alias("norm")).where(anchored(F.col("norm")))
+    # which words of the templates' clauses a text holds is found in one pass over its words
+    lists = {k: clauses(v, t) for k, v in sets.items()}
+    array = lambda ws: F.array(*[F.lit(w) for w in ws])
+    telling = sorted({w for listed in lists.values() for ws in listed for w in ws})
+    held = F.array_intersect(F.split(F.lower("text"), "[^a-z0-9]+"), array(telling) if telling else F.array().cast("array<string>"))
+    possible = reduce(or_, [reduce(and_, [F.arrays_overlap("held", array(ws)) for ws in listed], F.lit(True)) for listed in lists.values()])
+    likely = docs.select("doc_id", "text", F.explode(F.array(held)).alias("held")).where(possible)
+    base = Stash(likely.select("doc_id", normalised(F.col("text")).alias("norm")), "licenses").df
     lines = F.split("norm", "\n")
     paragraphs = F.split(F.regexp_replace("norm", blank, F.lit("\r")), "\r")
     unit = "array<struct<unit:string,unit_no:int,body:string>>"
