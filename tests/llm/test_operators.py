@@ -57,9 +57,27 @@ def test_substrings(spark, length):
     pool = ["".join(rnd.choice("ab") for _ in range(30)) for _ in range(6)]
     part = lambda: rnd.choice(pool)[rnd.randrange(10) :] if rnd.random() < 0.7 else "".join(rnd.choice("abé") for _ in range(20))
     rows = [(0, None), (1, ""), (2, "x" * 500), (3, "x" * 11), (4, "é" * 300)] + [(5 + i, "".join(part() for _ in range(rnd.randrange(12)))) for i in range(150)]
-    got = substrings.repeated_substrings(spark.createDataFrame(rows, "doc_id int, text string"), length)
-    got = got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
-    assert sorted(map(tuple, got)) == sorted(brute_substrings(rows, length))
+    rows += [(200 + i, "ab" * i + "c" * 90 + "ba" * i) for i in range(0, 40, 9)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string")
+    # in one bucket, and in many, so that leads and equal runs lie on both sides of boundaries
+    for bucket_bytes in (1 << 22, 1 << 11):
+        got = substrings.repeated_substrings(frame, length, bucket_bytes)
+        got = got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        assert sorted(map(tuple, got)) == sorted(brute_substrings(rows, length))
+
+
+def test_multikey_sort():
+    rnd = random.Random(5)
+    for length in (3, 8, 9, 20):
+        data = np.frombuffer(bytes(rnd.choice(b"ab\0") for _ in range(3000)), np.uint8)
+        starts = np.array(rnd.sample(range(3000 - length), 900))
+        group = np.array([rnd.randrange(3) for _ in starts])
+        order, ranges = substrings.multikey_sorted(data, starts, group, length)
+        text = [(int(g), bytes(data[s : s + length])) for g, s in zip(group, starts)]
+        seen = collections.Counter(text)
+        assert sorted(order.tolist()) == [i for i, x in enumerate(text) if seen[x] > 1]
+        assert [text[i] for i in order] == sorted(text[i] for i in order)
+        assert len(set(ranges.tolist())) == len({text[i] for i in order})
 
 
 def test_substrings_of_documents(spark, docs):
