@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Stash
+from .shared import Aside, Stash
 
 #: A rate above this is drawn as a sum of independent rates of at most this size, so exp(-rate) stays a normal double.
 RATE_STEP = 256.0
@@ -73,19 +73,20 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, see
 
     A null source is a source of its own; named weights reach it under the name "". A null doc_id
     hashes as the empty string. Repeated rows are rows of their own with the same count. Columns
-    called copy or shuffle_key are replaced. An empty table gives no rows.
+    called copy or shuffle_key are replaced; others may have any name. Texts are moved whole, whatever their length. An empty table gives no rows.
     """
     rates = Stash(poisson_steps(source_rates(docs, weights, total)), "rates")
     side = rates.side(F.col("source").alias("mix_source"), F.col("n_steps").alias("mix_steps"), F.col("cdf").alias("mix_cdf"))
-    base = docs.drop("copy", "shuffle_key")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    given = Aside(docs, ("copy", "shuffle_key"))
+    key = F.coalesce(given.col("doc_id").cast("string"), F.lit(""))
 
     def draws(step: Column) -> Column:
         u = unit_hash(F.lit(seed), step, key)
         return F.size(F.filter("mix_cdf", lambda c: c <= u))
 
     copies = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("mix_steps")), draws), F.lit(0), lambda a, x: a + x)
-    counted = base.join(side, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("mix_n", copies).where("mix_n > 0")
-    out = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_n")))).drop("mix_source", "mix_steps", "mix_cdf", "mix_n")
+    counted = given.df.join(side, given.col("source").eqNullSafe(F.col("mix_source"))).withColumn("mix_n", copies).where("mix_n > 0")
+    out = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
     out = out.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("copy"), key).cast("binary")), 1, 15), 16, 10).cast("long"))
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy") if shuffle else out
+    dealt = out.repartition("shuffle_key").sortWithinPartitions("shuffle_key", given.col("doc_id"), "copy") if shuffle else out
+    return dealt.select(*given.back(), "copy", "shuffle_key")

@@ -57,7 +57,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return quality_rules(docs).drop("text", "lang", "source")
+    return quality_rules(docs).drop("text", "lang", "source", "estimate")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
