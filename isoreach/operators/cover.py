@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where that is unset (tests), a temporary one."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one if all run
+    on this machine, as in tests; on a cluster a machine's own folder would lose rows, so that is an error."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="isoreach-"))
-        folder = spark.sparkContext.getCheckpointDir()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="isoreach-"))
+        folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
@@ -134,17 +138,18 @@ def drop_redundant(incidence: DataFrame, solution: Sequence[int]) -> list[int]:
     return kept
 
 
-def swap_search(incidence: DataFrame, solution: Sequence[int], max_moves: int = 100) -> DataFrame:
+def swap_search(incidence: DataFrame, solution: Sequence[int], max_moves: int | None = None) -> DataFrame:
     """Swaps while one improves: (move, out_id, in_id, objective), move 0 being the start.
 
     The facility to leave is the first of the solution that has an improving swap with a facility
     sharing demand which it covers alone; of these the one with the largest gain enters, ties to the
-    smaller id. A move is one aggregation; only its best row comes to the driver.
+    smaller id. A move is one aggregation; only its best row comes to the driver. The search ends where no swap
+    improves; max_moves, if given, ends it sooner.
     """
     rows = written(incidence.select("facility_id", "demand_id", "weight").distinct(), "incidence")
     current, worth = list(dict.fromkeys(solution)), objective(rows, solution)
     moves = [(0, None, None, worth)]
-    while len(moves) <= max_moves and current:
+    while current and (max_moves is None or len(moves) <= max_moves):
         at = F.array_position(F.array(*[F.lit(f).cast("long") for f in current]), F.col("out_id"))
         best = swap_deltas(rows, current).where("delta > 0").orderBy(at, F.desc("delta"), "in_id").first()
         if best is None:
@@ -184,9 +189,10 @@ def deployment(incidence: DataFrame, pool: Sequence[int], budget: int | None = N
     return greedy_max_cover(incidence.where(F.col("facility_id").isin(sorted(set(pool)))), size if budget is None else min(budget, size))
 
 
-def greedy_set_cover(incidence: DataFrame, limit: int = 10_000) -> DataFrame:
+def greedy_set_cover(incidence: DataFrame) -> DataFrame:
     """Facilities until every demand is covered, each by the number of demands it adds."""
-    return greedy_max_cover(incidence.withColumn("weight", F.lit(1).cast("long")), limit)
+    most = incidence.select("facility_id").distinct().count()
+    return greedy_max_cover(incidence.withColumn("weight", F.lit(1).cast("long")), most)
 
 
 def budget_order(budgets: Sequence[int]) -> list[int]:

@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Exact tours up to so many stops besides the depot; longer ones by nearest neighbour and 2-opt.
-EXACT_STOPS = 11
 #: Subsets of at most so many sites are enumerated.
 EXACT_SITES = 16
 
@@ -59,10 +57,11 @@ def two_opt_tour(d: np.ndarray) -> tuple[list[int], float]:
     return order, best
 
 
-def tours(distances: DataFrame, depots: DataFrame) -> DataFrame:
-    """(tour_id, position, stop_id, length) of a closed tour for each tour_id of distances (tour_id, from_id, to_id,
-    distance_m), which must be complete, from its depot (tour_id, depot_id). A task holds the
-    distance table of one tour."""
+def tours(distances: DataFrame, depots: DataFrame, method: str = "two_opt") -> DataFrame:
+    """(tour_id, position, stop_id, length, method) of a closed tour for each tour_id of distances (tour_id, from_id, to_id,
+    distance_m), which must be complete, from its depot (tour_id, depot_id). method: "exact", by subsets, for tours of a
+    dozen stops or so, or "two_opt", nearest neighbour and reversals. A task holds the distance table of one tour."""
+    solver = {"exact": exact_tour, "two_opt": two_opt_tour}[method]
 
     def solve(table: pd.DataFrame) -> pd.DataFrame:
         depot = table["depot_id"].iloc[0]
@@ -71,11 +70,11 @@ def tours(distances: DataFrame, depots: DataFrame) -> DataFrame:
         np.fill_diagonal(d, 0.0)
         if np.isnan(d).any():
             raise ValueError(f"tour {table['tour_id'].iloc[0]} lacks distances")
-        order, length = (exact_tour if len(ids) - 1 <= EXACT_STOPS else two_opt_tour)(d)
-        return pd.DataFrame({"tour_id": table["tour_id"].iloc[0], "position": np.arange(len(order), dtype="int32"), "stop_id": [ids[i] for i in order], "length": length})
+        order, length = solver(d)
+        return pd.DataFrame({"tour_id": table["tour_id"].iloc[0], "position": np.arange(len(order), dtype="int32"), "stop_id": [ids[i] for i in order], "length": length, "method": method})
 
     kinds = {f.name: f.dataType.simpleString() for f in distances.schema}
-    schema = f"tour_id {kinds['tour_id']}, position int, stop_id {kinds['from_id']}, length double"
+    schema = f"tour_id {kinds['tour_id']}, position int, stop_id {kinds['from_id']}, length double, method string"
     return distances.join(depots.select("tour_id", "depot_id"), "tour_id").groupBy("tour_id").applyInPandas(solve, schema)
 
 

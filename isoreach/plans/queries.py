@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cover, network, population, spatial
+from ..operators import cover, network, polygons, population, spatial
 from . import views
 
 RING = [(1.0, 1.0), (9.0, 2.0), (7.5, 5.0), (9.0, 9.0), (4.0, 6.5), (1.0, 8.0)]
@@ -73,6 +73,24 @@ def max_cover_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover.greedy_max_cover(incidence, 5)
 
 
+def _diamonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rings about each facility; no place of the tables lies on one."""
+    rings = F.explode(F.array(*[F.struct(F.lit(d).alias("distance_id"), F.lit(r).alias("r")) for d, r in (("near", 0.2505), ("far", 0.7505))])).alias("k")
+    at = views.existing(spark, sf_dir).select("facility_id", "lon", "lat", rings)
+    corner = lambda dx, dy: F.struct((F.col("lon") + dx * F.col("k.r")).alias("x"), (F.col("lat") + dy * F.col("k.r")).alias("y"))
+    return at.select("facility_id", "k.distance_id", F.array(corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1)).alias("ring"))
+
+
+def served_by_isopolygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = views.demand(spark, sf_dir).withColumnRenamed("demand_id", "point_id")
+    out = polygons.served_by_isopolygons(points, _diamonds(spark, sf_dir), 1.0)
+    return out.select("facility_id", "distance_id", F.array_join("point_ids", ",").alias("point_ids"))
+
+
+def clipped_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polygons.clip(views.demand(spark, sf_dir), _diamonds(spark, sf_dir), 1.0).select("demand_id", "weight")
+
+
 def road_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.connected_components(views.edges(spark, sf_dir).where("u % 5 <> 0 and v % 5 <> 0"))
 
@@ -84,7 +102,7 @@ def road_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     served_population, range_pairs, nearest_facility, haversine_pairs, bbox_filter, within_polygon, group_population, block_sum,
-    access_summary, weighted_median_balance, cumulative_catchment, max_cover_greedy, road_components, road_distances)}
+    access_summary, weighted_median_balance, cumulative_catchment, max_cover_greedy, road_components, road_distances, served_by_isopolygons, clipped_demand)}
 
 _V = "with recursive " + views.SQL
 _D = "sqrt((e.lon - d.lon) * (e.lon - d.lon) + (e.lat - d.lat) * (e.lat - d.lat))"
@@ -124,3 +142,10 @@ ORACLE_SQL = {
     "road_components": f"{_V}{_EDGES}, kept as (select u, v from edges where u % 5 <> 0 and v % 5 <> 0), reach(node, low) as (select u, u from kept union select k.v, r.low from reach r join kept k on k.u = r.node) select node, min(low) as component from reach group by 1",
     "road_distances": f"{_V}{_EDGES}, reach(source, node, distance) as (select facility_id, facility_id, 0.0::double from existing where facility_id % 17 <> 0 union select r.source, e.v, r.distance + e.length from reach r join edges e on e.u = r.node where r.distance + e.length <= 20) select source, node, min(distance) as distance from reach group by 1, 2",
 }
+
+_RINGS = "rings as (select facility_id, distance_id, r, lon, lat from existing, (values ('near', 0.2505::double), ('far', 0.7505::double)) t(distance_id, r))"
+ORACLE_SQL["served_by_isopolygons"] = f"""with {views.SQL}, {_RINGS}
+select r.facility_id, r.distance_id, coalesce(string_agg(cast(d.demand_id as varchar), ',' order by d.demand_id), '') as point_ids
+from rings r left join demand d on abs(d.lon - r.lon) + abs(d.lat - r.lat) < r.r group by 1, 2"""
+ORACLE_SQL["clipped_demand"] = f"""with {views.SQL}, {_RINGS}
+select demand_id, weight from demand d where exists (select 1 from rings r where abs(d.lon - r.lon) + abs(d.lat - r.lat) <= r.r)"""

@@ -177,7 +177,7 @@ def tours(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops = _whole_stops(spark, sf_dir)
     table = matrix.tour_distances(stops, spark.createDataFrame([], "from_id long, to_id long, road double"))
     depots = stops.groupBy("tour_id").agg(F.min("stop_id").alias("depot_id"))
-    return solve.tours(table, depots).withColumn("length", F.round("length", 2))
+    return solve.tours(table, depots, "exact").withColumn("length", F.round("length", 2))
 
 
 QUERIES = {f.__name__: f for f in (
