@@ -157,24 +157,21 @@ def multikey_sorted(data: np.ndarray, starts: np.ndarray, group: np.ndarray, len
     return order, ranges
 
 
-def bucket_rows(length: int, alone: bool):
+def bucket_rows(length: int):
     """Of one bucket of runs in the order of their leading bytes: spans (tid, lo, hi) of bytes under strings
-    that are found twice in it; and for the first and the last lead, which neighbouring buckets may hold too,
-    the digest of each different string, with its place if it is not found twice in this bucket."""
+    that are found twice in it; and for hot grams, which neighbouring buckets hold too, the digest of each
+    different string, with its place if it is not found twice in this bucket."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kinds: dict[tuple[int, bytes], list] = {}
-        ends: list[bytes] = []
         for b in batches:
-            for lead, v, body, times, tids, los in zip(b["lead"], b["v"].tolist(), b["body"], b["times"].tolist(), b["tids"], b["los"]):
-                lead = bytes(lead)
-                ends = [min(ends[0], lead), max(ends[1], lead)] if ends else [lead, lead]
-                row = kinds.setdefault((v, bytes(body)), [lead, times, [], []])
+            for v, body, times, tids, los, hot in zip(b["v"].tolist(), b["body"], b["times"].tolist(), b["tids"], b["los"], b["hot"].tolist()):
+                row = kinds.setdefault((v, bytes(body)), [hot, times, [], []])
                 row[2].append(tids)
                 row[3].append(los)
         if not kinds:
             return
-        rows = [(v, body, lead, times, np.concatenate(t), np.concatenate(p)) for (v, body), (lead, times, t, p) in kinds.items()]
+        rows = [(v, body, hot, times, np.concatenate(t), np.concatenate(p)) for (v, body), (hot, times, t, p) in kinds.items()]
         kinds.clear()
         of_v = np.unique([r[0] for r in rows], return_inverse=True)[1]
         count = np.array([len(r[4]) for r in rows])
@@ -197,12 +194,12 @@ def bucket_rows(length: int, alone: bool):
             stands[place[order]] = False
             stands[place[order[np.flatnonzero(np.diff(ranges, prepend=-1))]]] = True
         out: list[tuple] = []
-        for i, (_, body, lead, _, tids, los) in enumerate(rows):
+        for i, (_, body, hot, _, tids, los) in enumerate(rows):
             found = flat[base[i] : base[i] + n_starts[i]]
             edge = np.flatnonzero(np.diff(np.concatenate([[0], found.astype(np.int8), [0]])))
             for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
                 out += [(None, t, p + a, p + b - 1 + length) for t, p in zip(tids.tolist(), los.tolist())]
-            if lead in ends and not alone:
+            if hot:
                 for s in range(int(n_starts[i])):
                     mark = hashlib.blake2b(body[s : s + length], digest_size=16).digest
                     if not found[s]:
@@ -253,8 +250,8 @@ def repeated_substrings(docs: DataFrame, length: int = 200, bucket_bytes: int =
     Every other text's starts fall into runs whose strings share their least gram of GRAM * length bytes;
     runs whose gram is found once cannot repeat and go. The strings of the rest are range-partitioned, a run's
     together, by their leading gram's bytes at splitters that Spark samples. A bucket sorts its strings by
-    multikey quicksort, which compares all bytes. Places of a hot gram are dealt over several buckets, so the first and the
-    last lead of each bucket are compared across boundaries, by 128-bit digests of what differs within each.
+    multikey quicksort, which compares all bytes. The places of a gram that fills more than a bucket are dealt over
+    several, and compared across their boundaries by 128-bit digests of what differs within each.
 
     A null text is empty, and nothing of it is removed. Repeated rows are rows of their own, and so repeat
     each other. A text, its runs and its spans are held by one task, a bucket by another; very long texts take
@@ -282,12 +279,16 @@ def repeated_substrings(docs: DataFrame, length: int = 200, bucket_bytes: int =
     bodies = Stash(texts.select("tid", "data").join(by_text.side(), "tid").mapInPandas(body_rows(length), shape), "bodies")
     kept.drop()
     by_text.drop()
-    size = bodies.df.agg(F.sum(F.octet_length("body") + 16 * F.size("tids"))).first()[0] or 0
+    weight = F.octet_length("body") + 16 * F.size("tids")
+    size = bodies.df.agg(F.sum(weight)).first()[0] or 0
     n_buckets = max(1, -(-size // bucket_bytes))
-    # the salt deals the places of one lead over as many buckets as they fill
-    dealt = bodies.df.repartitionByRange(n_buckets, "lead", "v", F.xxhash64("salt")) if n_buckets > 1 else bodies.df.coalesce(1)
-    compared = Stash(dealt.mapInPandas(bucket_rows(length, n_buckets == 1), "digest binary, tid long, lo long, hi long"), "compared")
+    # a gram of more bytes than a bucket is dealt over as many buckets as its places fill; any other one lies in one
+    hot = Stash(bodies.df.groupBy("lead", "v").agg(F.sum(weight).alias("bytes")).where(F.col("bytes") > bucket_bytes).select("lead", "v", F.lit(True).alias("hot")), "hot")
+    marked = bodies.df.join(hot.side(), ["lead", "v"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    dealt = marked.repartitionByRange(n_buckets, "lead", "v", F.when(F.col("hot"), F.xxhash64("salt")).otherwise(F.lit(0).cast("long")))
+    compared = Stash(dealt.mapInPandas(bucket_rows(length), "digest binary, tid long, lo long, hi long"), "compared")
     bodies.drop()
+    hot.drop()
     edges = compared.df.where("digest is not null")
     across = Stash(edges.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "across")
     hits = edges.where("tid is not null").join(across.side(), "digest").select("tid", "lo", "hi")
