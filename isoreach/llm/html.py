@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -69,7 +69,7 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         #: Open elements: (tag, path, hidden); and how many there are of each tag.
         self.open: list[tuple[str, int, bool]] = []
-        self.count: Counter[str] = Counter()
+        self.count: defaultdict[str, int] = defaultdict(int)
         self.steps: list[tuple[int, str]] = [(0, "")]
         self.numbers: dict[tuple[int, str], int] = {}
         self.found: list[tuple[int, str, int]] = []
@@ -91,7 +91,8 @@ class Blocks(HTMLParser):
     def pop_to(self, depth: int) -> None:
         if any(t in BLOCK for t, _, _ in self.open[depth:]):
             self.flush()
-        self.count.subtract(t for t, _, _ in self.open[depth:])
+        for t, _, _ in self.open[depth:]:
+            self.count[t] -= 1
         del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs) -> None:
