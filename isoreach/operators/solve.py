@@ -78,21 +78,21 @@ def tours(distances: DataFrame, depots: DataFrame, method: str = "two_opt") -> D
     return distances.join(depots.select("tour_id", "depot_id"), "tour_id").groupBy("tour_id").applyInPandas(solve, schema)
 
 
-def location_table(matrix: DataFrame, sites: list[int], fixed: float) -> DataFrame:
-    """Every non-empty subset of the sites as a bit mask, with its cost: fixed for each open site, and demand times the
-    nearest open distance of matrix (site_id, demand_id, weight, distance). Masks that leave a demand without a site are left out."""
-    if not 0 < len(sites) <= EXACT_SITES:
-        raise ValueError(f"subsets are enumerated of 1 to {EXACT_SITES} sites")
-    bits = F.try_element_at(F.create_map(*[F.lit(x) for i, s in enumerate(sites) for x in (int(s), 1 << i)]), F.col("site_id").cast("int"))
-    n = matrix.select("demand_id").distinct().count()
-    rows = matrix.withColumn("bit", bits).where("bit is not null")
+def location_table(matrix: DataFrame, fixed: float) -> DataFrame:
+    """Every non-empty subset of each district's sites as a bit mask (bit i: the i-th smallest site_id), with its cost: fixed for
+    each open site, and demand times the nearest open distance of matrix (district, site_id, demand_id, weight, distance).
+    Masks that leave a demand without a site are left out. A district of more than 16 sites fails the query; rows grow with 2 to the sites."""
+    sites = matrix.groupBy("district").agg(F.sort_array(F.collect_set("site_id")).alias("sites"), F.count_distinct("demand_id").alias("n"))
     # per demand its sites by distance; each mask takes the first that is open
-    near = rows.groupBy("demand_id").agg(F.first("weight").alias("weight"), F.sort_array(F.collect_list(F.struct("distance", "bit"))).alias("near"))
-    each = near.withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit((1 << len(sites)) - 1))))
+    near = matrix.groupBy("district", "demand_id").agg(F.first("weight").alias("weight"), F.sort_array(F.collect_list(F.struct("distance", "site_id"))).alias("near"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1), (F.array_position("sites", x["site_id"]) - 1).cast("int"))
+    few = F.when(F.size("sites") > EXACT_SITES, F.raise_error(F.lit(f"subsets are enumerated of 1 to {EXACT_SITES} sites")).cast("int")).otherwise(F.size("sites"))
+    near = near.join(sites, "district").withColumns({"near": F.transform("near", lambda x: F.struct(x["distance"].alias("distance"), bit(x).alias("bit"))), "top": F.call_function("shiftleft", F.lit(1), few) - 1})
+    each = near.withColumn("mask", F.explode(F.sequence(F.lit(1), F.col("top"))))
     open_ = F.filter("near", lambda x: x["bit"].bitwiseAND(F.col("mask")) > 0)
     cost = F.col("weight") * F.get(open_, F.lit(0))["distance"]
-    sums = each.groupBy("mask").agg(F.sum(cost).alias("service"), F.count(cost).alias("served")).where(F.col("served") == n)
-    return sums.select("mask", F.bit_count("mask").alias("n_open"), (F.col("service") + F.bit_count("mask") * F.lit(float(fixed))).alias("cost"))
+    sums = each.groupBy("district", "mask").agg(F.sum(cost).alias("service"), F.count(cost).alias("served"), F.first("n").alias("n")).where(F.col("served") == F.col("n"))
+    return sums.select("district", "mask", F.bit_count("mask").alias("n_open"), (F.col("service") + F.bit_count("mask") * F.lit(float(fixed))).alias("cost"))
 
 
 def facility_location(matrix: DataFrame, setup_km: float) -> DataFrame:

@@ -92,7 +92,7 @@ def clipped_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def road_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.connected_components(views.edges(spark, sf_dir).where("u % 5 <> 0 and v % 5 <> 0"))
+    return network.connected_components(views.edges(spark, sf_dir))
 
 
 def road_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,7 @@ ORACLE_SQL = {
         select c_nationkey, coalesce(max(case when mid <= 0.5 and nat > 0.5 then x + (nx - x) * (0.5::double - mid) / (nat - mid) when mid <= 0.5 and nat is null then x end), min(x)) as quantile from n group by 1""",
     "cumulative_catchment": f"{_V}, b as (select e.facility_id, cast(ceil({_D} * 10) as bigint) as distance, sum(d.weight) as w from existing e join demand d on {_D} <= 0.5 group by 1, 2) select facility_id, distance, cast(sum(w) over (partition by facility_id order by distance) as bigint) as cumulative from b",
     "max_cover_greedy": f"{_V}{_STEPS}, steps as ({' union all '.join(f'select {i} as step, facility_id, gain from best{i} where gain > 0' for i in range(1, 6))}) select step, facility_id, gain, cast(sum(gain) over (order by step) as bigint) as covered from steps",
-    "road_components": f"{_V}{_EDGES}, kept as (select u, v from edges where u % 5 <> 0 and v % 5 <> 0), reach(node, low) as (select u, u from kept union select k.v, r.low from reach r join kept k on k.u = r.node) select node, min(low) as component from reach group by 1",
+    "road_components": f"{_V}{_EDGES}, reach(node, low) as (select u, u from edges union select k.v, r.low from reach r join edges k on k.u = r.node) select node, min(low) as component from reach group by 1",
     "road_distances": f"{_V}{_EDGES}, reach(source, node, distance) as (select facility_id, facility_id, 0.0::double from existing where facility_id % 17 <> 0 union select r.source, e.v, r.distance + e.length from reach r join edges e on e.u = r.node where r.distance + e.length <= 20) select source, node, min(distance) as distance from reach group by 1, 2",
 }
 

@@ -53,15 +53,6 @@ def density_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.ranked_components(views.edges(spark, sf_dir).where("u % 5 <> 0 and v % 5 <> 0"))
-
-
-def whole_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """road_components over the whole edge table; its SQL names the subset of that query."""
-    return network.connected_components(views.edges(spark, sf_dir))
-
-
-def whole_ranked_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.ranked_components(views.edges(spark, sf_dir))
 
 
@@ -79,13 +70,6 @@ def predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shortest_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    via = network.predecessors(views.edges(spark, sf_dir), _reached(spark, sf_dir))
-    out = network.routes(via, via.where("node % 3 = 0"))
-    return out.select("source", "node", F.array_join("path", ",").alias("path"))
-
-
-def whole_shortest_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """shortest_routes to every reached node."""
     via = network.predecessors(views.edges(spark, sf_dir), _reached(spark, sf_dir))
     return network.routes(via, via).select("source", "node", F.array_join("path", ",").alias("path"))
 
@@ -154,35 +138,25 @@ def route_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.existing(spark, sf_dir).where("facility_id < 100").select((F.col("facility_id") % 12).alias("tour_id"), F.col("facility_id").alias("stop_id"), "lon", "lat")
-
-
-def tour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    legs = matrix.directed_costs(_legs(spark, sf_dir)).select(F.col("origin").alias("from_id"), F.col("destination").alias("to_id"), F.col("cost").cast("double").alias("road"))
-    return matrix.tour_distances(_stops(spark, sf_dir), legs.where("from_id % 2 = 0")).withColumn("distance_m", F.round("distance_m", 2))
-
-
-def _whole_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All suppliers, a tour for every 9 whose keys follow one another."""
     return views.existing(spark, sf_dir).select(F.floor(F.col("facility_id") / 9).cast("long").alias("tour_id"), F.col("facility_id").alias("stop_id"), "lon", "lat")
 
 
-def whole_tour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tour_distances over all suppliers and all road legs; its SQL names the subset of that query."""
+def tour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     legs = matrix.directed_costs(_legs(spark, sf_dir)).select(F.col("origin").alias("from_id"), F.col("destination").alias("to_id"), F.col("cost").cast("double").alias("road"))
-    return matrix.tour_distances(_whole_stops(spark, sf_dir), legs).withColumn("distance_m", F.round("distance_m", 2))
+    return matrix.tour_distances(_stops(spark, sf_dir), legs).withColumn("distance_m", F.round("distance_m", 2))
 
 
 def tours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stops = _whole_stops(spark, sf_dir)
+    stops = _stops(spark, sf_dir)
     table = matrix.tour_distances(stops, spark.createDataFrame([], "from_id long, to_id long, road double"))
     depots = stops.groupBy("tour_id").agg(F.min("stop_id").alias("depot_id"))
     return solve.tours(table, depots, "exact").withColumn("length", F.round("length", 2))
 
 
 QUERIES = {f.__name__: f for f in (
-    way_edges, simplified_edges, edge_speeds, density_factors, ranked_components, whole_components, whole_ranked_components, reachable_edges, predecessors, shortest_routes, whole_shortest_routes, candidate_pairs, distance_matrix,
-    cached_node_pairs, symmetric_costs, directed_costs, dense_matrix, closest_by_layer, route_comparison, tour_distances, whole_tour_distances, tours)}
+    way_edges, simplified_edges, edge_speeds, density_factors, ranked_components, reachable_edges, predecessors, shortest_routes, candidate_pairs, distance_matrix,
+    cached_node_pairs, symmetric_costs, directed_costs, dense_matrix, closest_by_layer, route_comparison, tour_distances, tours)}
 
 
 def _km(a: str, b: str) -> str:
@@ -216,10 +190,10 @@ ORACLE_SQL = {
     "simplified_edges": f"{_WAYS} {_BOTH.format('runs')}",
     "edge_speeds": f"{_V}{_EDGES} select u, v, round({_SPEED}, 6) as speed_kph, round(length / (({_SPEED}) / 3.6::double), 6) as travel_time_s from edges",
     "density_factors": f"{_V}, w as (select e.facility_id as edge_id, coalesce(sum(d.weight), 0) / 3.0::double as density from existing e left join demand d on {_D} <= 1.0 group by 1) select *, case when density >= 10000 then 0.5::double else 1.0::double end as density_factor from w",
-    "ranked_components": f"{_V}{_EDGES}, kept as (select u, v from edges where u % 5 <> 0 and v % 5 <> 0), reach(node, low) as (select u, u from kept union select k.v, r.low from reach r join kept k on k.u = r.node), c as (select node, min(low) as c from reach group by 1), s as (select c, row_number() over (order by count(*) desc, c) - 1 as component_id from c group by c) select node, component_id from c join s using (c)",
+    "ranked_components": f"{_V}{_EDGES}, reach(node, low) as (select u, u from edges union select k.v, r.low from reach r join edges k on k.u = r.node), c as (select node, min(low) as c from reach group by 1), s as (select c, row_number() over (order by count(*) desc, c) - 1 as component_id from c group by c) select node, component_id from c join s using (c)",
     "reachable_edges": f"{_REACH} select a.source, e.u, e.v, e.length from edges e join near a on a.node = e.u join near b on b.node = e.v and b.source = a.source",
     "predecessors": f"{_REACH} select * from pred",
-    "shortest_routes": f"{_REACH}, back(source, node, here, path) as (select source, node, node, cast(node as varchar) from pred where node % 3 = 0 union all select b.source, b.node, p.via, p.via || ',' || b.path from back b join pred p on p.source = b.source and p.node = b.here where b.here <> b.source) select source, node, path from back where here = source",
+    "shortest_routes": f"{_REACH}, back(source, node, here, path) as (select source, node, node, cast(node as varchar) from pred union all select b.source, b.node, p.via, p.via || ',' || b.path from back b join pred p on p.source = b.source and p.node = b.here where b.here <> b.source) select source, node, path from back where here = source",
     "candidate_pairs": f"{_CAND} select t as target_id, s as source_id from cand",
     "distance_matrix": f"{_CAND} select t as target_id, s as source_id, ts * 1.5::double + abs(tn - sn) + ss * 1.5::double as total from cand where (tn + sn) % 10 <> 0 and ts * 1.5::double + abs(tn - sn) + ss * 1.5::double <= 20",
     "cached_node_pairs": f"{_CAND} select distinct tn as target_node, sn as source_node, case when tn % 2 = 0 and (tn + sn) % 10 <> 0 then cast(abs(tn - sn) as double) end as road from cand",
@@ -228,5 +202,5 @@ ORACLE_SQL = {
     "dense_matrix": f"{_LEGS} select origin as target_id, {', '.join(f'min(case when destination = {s} then cost end) as s{s}' for s in (0, 1, 2, 5, 9))} from legs group by 1",
     "closest_by_layer": f"{_LEGS}, r as (select origin as target_id, destination % 3 as layer, destination as source_id, cost as total, row_number() over (partition by origin, destination % 3 order by cost, destination) as k from legs) select target_id, layer, source_id, total from r where k = 1",
     "route_comparison": f"{_LEGS}, a as (select origin, destination, cost as length_a, cost % 97 as time_a from directed where origin % 4 <> 0), b as (select origin, destination, cost as length_b, cost % 97 + 1 as time_b from directed where origin % 4 <> 1) select *, case when time_b is null then 'left' when time_a is null then 'right' else 'both' end as state from a full join b using (origin, destination)",
-    "tour_distances": f"{_LEGS}, {views.SQL}, stops as (select facility_id % 12 as tour_id, facility_id as id, lon, lat from existing where facility_id < 100) select a.tour_id, a.id as from_id, b.id as to_id, case when a.id = b.id then 0.0::double else round(coalesce(cost, {_km('a.', 'b.')} * 1350.0::double), 2) end as distance_m, case when a.id = b.id then 'identity' when cost is not null then 'road' else 'fallback' end as distance_source from stops a join stops b using (tour_id) left join directed on origin = a.id and destination = b.id and origin % 2 = 0",
+    "tour_distances": f"{_LEGS}, {views.SQL}, stops as (select facility_id // 9 as tour_id, facility_id as id, lon, lat from existing) select a.tour_id, a.id as from_id, b.id as to_id, case when a.id = b.id then 0.0::double else round(coalesce(cost, {_km('a.', 'b.')} * 1350.0::double), 2) end as distance_m, case when a.id = b.id then 'identity' when cost is not null then 'road' else 'fallback' end as distance_source from stops a join stops b using (tour_id) left join directed on origin = a.id and destination = b.id",
 }

@@ -101,14 +101,12 @@ def exact_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solve.exact_cover(rows, budgets).withColumn("solution", F.array_join("solution", ","))
 
 
-def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(site_id, demand_id, weight, distance) between the first suppliers and all customers in reach."""
-    near = spatial.range_join(views.existing(spark, sf_dir).where("facility_id < 6"), views.demand(spark, sf_dir), 15.0)
-    return near.select(F.col("facility_id").alias("site_id"), "demand_id", "weight", F.floor(F.col("distance") * 1000).cast("long").alias("distance"))
-
-
 def location_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return solve.location_table(_matrix(spark, sf_dir), list(range(6)), 1e6)
+    """Districts of 6 suppliers and 90 customers whose keys follow one another; every site of a district reaches its customers."""
+    sites = views.existing(spark, sf_dir).select(F.floor(F.col("facility_id") / 6).cast("long").alias("district"), F.col("facility_id").alias("site_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    rows = views.demand(spark, sf_dir).withColumn("district", F.floor(F.col("demand_id") / 90).cast("long")).join(sites, "district")
+    distance = F.floor(spatial.planar(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")) * 1000).cast("long")
+    return solve.location_table(rows.select("district", "site_id", "demand_id", "weight", distance.alias("distance")), 1e6)
 
 
 def facility_location(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +148,8 @@ ORACLE_SQL = {
     "saturation": f"{_CURVE}, t as (select *, max(objective) over (partition by method) as top from curve) select method, cast(min(budget) as int) as budget, max(top) as top from t where objective >= 0.95::double * top group by 1",
     "curve_difference": f"{_CURVE} select cast(a.budget as int) as budget, b.objective - a.objective as delta from curve a join curve b on a.budget = b.budget and a.method like '1%' and b.method like '2%'",
     "falling_steps": f"{_CURVE}, l as (select method, cast(budget as int) as budget, objective, lag(objective) over (partition by method order by budget) as was from curve) select * from l where objective < was",
-    "location_table": f"""{_V}, m as (select e.facility_id as site, d.demand_id, d.weight, cast(floor({_D} * 1000) as bigint) as dist from existing e join demand d on {_D} <= 15.0 where e.facility_id < 6),
-        near as (select mask, demand_id, any_value(weight) * min(dist) as cost from m, range(1, 64) r(mask) where mask & (1 << cast(site as int)) > 0 group by 1, 2)
-        select cast(mask as int) as mask, cast(bit_count(mask) as int) as n_open, sum(cost) + bit_count(mask) * 1e6::double as cost from near group by mask having count(*) = (select count(distinct demand_id) from m)""",
+    "location_table": f"""{_V}, m as (select e.facility_id // 6 as district, dense_rank() over (partition by e.facility_id // 6 order by e.facility_id) - 1 as bit, d.demand_id, d.weight, cast(floor({_D} * 1000) as bigint) as dist from existing e join demand d on d.demand_id // 90 = e.facility_id // 6),
+        sizes as (select district, max(bit) + 1 as n from m group by 1),
+        near as (select district, mask, demand_id, any_value(weight) * min(dist) as cost from m join sizes using (district), range(1, 64) r(mask) where mask < (1 << cast(n as int)) and mask & (1 << cast(bit as int)) > 0 group by 1, 2, 3)
+        select district, cast(mask as int) as mask, cast(bit_count(mask) as int) as n_open, sum(cost) + bit_count(mask) * 1e6::double as cost from near group by district, mask""",
 }

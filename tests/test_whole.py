@@ -5,8 +5,8 @@ import itertools
 
 import numpy as np
 
-from isoreach.operators import network, spatial
-from isoreach.plans import routing, selection, views
+from isoreach.operators import network, solve, spatial
+from isoreach.plans import queries, routing, selection, views
 
 SF = "/root/testdata/sf0.001"
 SF_100 = "/root/testdata/sf0.01"
@@ -18,7 +18,7 @@ def test_tours_of_all_suppliers(spark):
     for r in routing.tours(spark, SF_100).orderBy("tour_id", "position").collect():
         got[r.tour_id].append(r)
     assert {r.stop_id for rows in got.values() for r in rows} == ids
-    table = {(r.from_id, r.to_id): r for r in routing.whole_tour_distances(spark, SF_100).collect()}
+    table = {(r.from_id, r.to_id): r for r in routing.tour_distances(spark, SF_100).collect()}
     assert set(table) == {(a, b) for a in ids for b in ids if a // 9 == b // 9}
     assert any(r.distance_source == "road" and r.from_id % 2 for r in table.values())
     place = {r.facility_id: r for r in views.existing(spark, SF_100).collect()}
@@ -80,10 +80,10 @@ def brute_components(pairs):
 def test_components_of_all_edges(spark):
     pairs = [(r.u, r.v) for r in views.edges(spark, SF_100).collect()]
     want = brute_components(pairs)
-    assert {r.node: r.component for r in routing.whole_components(spark, SF_100).collect()} == want
+    assert {r.node: r.component for r in queries.road_components(spark, SF_100).collect()} == want
     sizes = collections.Counter(want.values())
     rank = {c: i for i, c in enumerate(sorted(sizes, key=lambda c: (-sizes[c], c)))}
-    assert {r.node: r.component_id for r in routing.whole_ranked_components(spark, SF_100).collect()} == {n: rank[c] for n, c in want.items()}
+    assert {r.node: r.component_id for r in routing.ranked_components(spark, SF_100).collect()} == {n: rank[c] for n, c in want.items()}
 
 
 def test_several_components(spark):
@@ -98,8 +98,24 @@ def test_several_components(spark):
 def test_routes_to_every_reached_node(spark):
     length = {(r.u, r.v): r.length for r in views.edges(spark, SF).collect()}
     want = {(r.source, r.node): r.distance for r in routing._reached(spark, SF).collect()}
-    got = {(r.source, r.node): [int(x) for x in r.path.split(",")] for r in routing.whole_shortest_routes(spark, SF).collect()}
+    got = {(r.source, r.node): [int(x) for x in r.path.split(",")] for r in routing.shortest_routes(spark, SF).collect()}
     assert set(got) == set(want) and any(n % 3 for _, n in got)
     for (source, node), path in got.items():
         assert path[0] == source and path[-1] == node
         assert sum(length[e] for e in zip(path, path[1:])) == want[source, node]
+
+
+def test_location_table_by_enumeration(spark):
+    """Two districts of different sizes; one demand that a single site reaches, a site that nobody needs."""
+    rows = [(1, 10, 0, 2, 5), (1, 11, 0, 2, 3), (1, 10, 1, 4, 1), (1, 12, 0, 2, 9), (2, 7, 5, 3, 2), (2, 9, 5, 3, 2), (2, 9, 6, 0, 8), (2, 7, 6, 0, 8)]
+    got = {(r.district, r.mask): r.cost for r in solve.location_table(spark.createDataFrame(rows, "district long, site_id long, demand_id long, weight long, distance long"), 100.0).collect()}
+    want = {}
+    for district in (1, 2):
+        mine = [r for r in rows if r[0] == district]
+        sites = sorted({r[1] for r in mine})
+        for mask in range(1, 1 << len(sites)):
+            open_ = {s for i, s in enumerate(sites) if mask >> i & 1}
+            best = {d: min((r[4] * r[3] for r in mine if r[2] == d and r[1] in open_), default=None) for d in {r[2] for r in mine}}
+            if None not in best.values():
+                want[district, mask] = 100.0 * len(open_) + sum(best.values())
+    assert got == want and len(want) == 7
