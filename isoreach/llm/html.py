@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -36,7 +37,11 @@ ABOVE = 48
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
 #: What an open element ends at when a sibling of its kind begins.
 ENDED_BY = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "tr": ("tr td th", ("table",)), "option": ("option", ("select",))}
-WHITE = re.compile(r"\s+")
+#: Attributes by which an element says what it is.
+SAYS = ("class", "id", "hidden", "aria-hidden", "role")
+#: The common form of tags and attributes, read in one step; elements with text of their own kind go the long way.
+START, PAIRS, END = re.compile(r'<([a-z][a-z0-9]*)((?: [a-z][a-z-]*="[^"&<>]*")*)>'), re.compile(r' ([a-z][a-z-]*)="([^"]*)"'), re.compile(r"</([a-z][a-z0-9]*)>")
+RAW = frozenset("script style textarea title iframe noembed noframes noscript plaintext xmp".split())
 
 
 def general(tag: str, attrs: dict[str, str]) -> str:
@@ -61,6 +66,13 @@ def marked(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     return False
 
 
+@lru_cache(maxsize=4096)
+def step_and_mark(tag: str, said: tuple[str | None, ...], in_article: bool) -> tuple[str, bool]:
+    """general() and marked() of an element that has those values of SAYS."""
+    named = {k: v for k, v in zip(SAYS, said) if v is not None}
+    return general(tag, named), marked(tag, named, in_article)
+
+
 class Blocks(HTMLParser):
     """The blocks of a page, in order: (path, text, characters in links). Paths are numbered; path 0 is that of
     no element, and each other one is a step below its parent, so that a deep page takes no more room than a flat one."""
@@ -82,13 +94,40 @@ class Blocks(HTMLParser):
     def path(self) -> int:
         return self.open[-1][1] if self.open else 0
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # nobody asks for lines
+
+    def parse_starttag(self, i: int) -> int:
+        m = START.match(self.rawdata, i)
+        if not m or m[1] in RAW:
+            return super().parse_starttag(i)
+        self.lasttag = m[1]
+        self.handle_starttag(m[1], PAIRS.findall(m[2]) if m[2] else ())
+        return m.end()
+
+    def parse_endtag(self, i: int) -> int:
+        m = None if self.cdata_elem else END.match(self.rawdata, i)
+        if not m or m[1] in RAW:
+            return super().parse_endtag(i)
+        self.handle_endtag(m[1])
+        return m.end()
+
     def flush(self) -> None:
-        text = WHITE.sub(" ", "".join(self.text)).strip()
+        if not self.text:
+            return
+        text = " ".join("".join(self.text).split())
         if text:
             self.found.append((self.path(), text, min(self.links, len(text))))
         self.text, self.links = [], 0
 
     def pop_to(self, depth: int) -> None:
+        if depth == len(self.open) - 1:
+            tag = self.open[-1][0]
+            if tag in BLOCK:
+                self.flush()
+            self.count[tag] -= 1
+            self.open.pop()
+            return
         if any(t in BLOCK for t, _, _ in self.open[depth:]):
             self.flush()
         for t, _, _ in self.open[depth:]:
@@ -121,12 +160,15 @@ class Blocks(HTMLParser):
                     break
         named = {k: v or "" for k, v in attrs}
         above = bool(self.open) and self.open[-1][2]
-        hidden = above or marked(tag, named, self.count["article"] > 0)
+        said = tuple(map(named.get, SAYS))
+        look = step_and_mark if sum(map(len, filter(None, said))) <= 256 else step_and_mark.__wrapped__  # the cache holds short ones
+        step, own = look(tag, said, self.count["article"] > 0)
+        hidden = above or own
         if hidden and tag not in BLOCK and not above:
             self.text.append(" ")
         at = self.path()
         if tag in BLOCK:  # inline elements are no containers: they have the path of what they stand in
-            key = (at, general(tag, named))
+            key = (at, step)
             if key not in self.numbers:
                 self.numbers[key] = len(self.steps)
                 self.steps.append(key)
