@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one if all run
-    on this machine, as in tests; on a cluster a machine's own folder would lose rows, so that is an error."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="isoreach-"))
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df by way of a table in the cluster's shared folder, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from . import spatial
+from .tables import shared_folder, written  # noqa: F401
 
 
 def objective(incidence: DataFrame, solution: Sequence[int]) -> int:

@@ -24,7 +24,7 @@ def range_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_facility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = spatial.nearest_join(views.demand(spark, sf_dir), views.existing(spark, sf_dir), "demand_id", "facility_id", 0.5, 16.0)
+    out = spatial.nearest_join(views.demand(spark, sf_dir), views.existing(spark, sf_dir), "demand_id", "facility_id", 16.0)
     return out.select("demand_id", "facility_id", F.round("distance", 6).alias("distance"))
 
 
