@@ -52,8 +52,7 @@ def block_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spatial.range_join(views.existing(spark, sf_dir), views.demand(spark, sf_dir), 2.0)
-    near = cover.closest_per_demand(pairs)
+    near = spatial.nearest_join(views.demand(spark, sf_dir), views.existing(spark, sf_dir), "demand_id", "facility_id", 2.0)
     rows = views.demand(spark, sf_dir).join(near, "demand_id", "left")
     return population.access_summary(rows, [0.25, 0.5, 1.0, 2.0])
 

@@ -54,3 +54,7 @@ def test_nearest_rows_of_equal_distance(spark):
         got.setdefault(r.a, []).append((r.distance, r.b))
     want = {a: sorted((float(np.hypot(x - u, y - v)), b) for b, u, v in right[:60] if np.hypot(x - u, y - v) <= 2.5)[:3] for a, x, y in left[:40]}
     assert {a: [(round(d, 9), b) for d, b in rows] for a, rows in got.items()} == {a: [(round(d, 9), b) for d, b in rows] for a, rows in want.items() if rows}
+
+
+def test_access_summary_makes_few_pairs(spark, dense, pairs):
+    nearest_work(spark, dense, pairs, "access_summary")
