@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics, cover, spatial, timetable
+from ..operators import analytics, spatial, timetable
 from ..sources import points
 from ..streaming import coverage
 from . import views
@@ -111,7 +111,7 @@ def streamed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catchment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = cover.closest_per_demand(spatial.range_join(views.existing(spark, sf_dir), views.demand(spark, sf_dir), 2.0))
+    near = spatial.nearest_join(views.demand(spark, sf_dir), views.existing(spark, sf_dir), "demand_id", "facility_id", 2.0)
     rows = near.join(views.demand(spark, sf_dir).select("demand_id", "weight"), "demand_id")
     out = rows.groupBy("facility_id").agg(F.sum("weight").alias("population"), F.count(F.lit(1)).alias("n"), (F.sum(F.col("weight") * F.col("distance")) / F.sum("weight")).alias("mean"), F.max("distance").alias("far"))
     return out.select("facility_id", "population", "n", F.round("mean", 6).alias("mean"), F.round("far", 6).alias("far"))

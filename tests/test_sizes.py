@@ -58,3 +58,7 @@ def test_nearest_rows_of_equal_distance(spark):
 
 def test_access_summary_makes_few_pairs(spark, dense, pairs):
     nearest_work(spark, dense, pairs, "access_summary")
+
+
+def test_catchment_summary_makes_few_pairs(spark, dense, pairs):
+    nearest_work(spark, dense, pairs, "catchment_summary")
