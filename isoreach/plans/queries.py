@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cover, network, polygons, population, spatial
+from ..operators import cover, discs, network, polygons, population, spatial
 from . import views
 
 RING = [(1.0, 1.0), (9.0, 2.0), (7.5, 5.0), (9.0, 9.0), (4.0, 6.5), (1.0, 8.0)]
@@ -16,7 +16,7 @@ def _pairs(spark: SparkSession, sf_dir: str, radius: float = 1.0) -> DataFrame:
 
 
 def served_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return population.served_population(_pairs(spark, sf_dir), views.demand(spark, sf_dir))
+    return discs.served_population(views.existing(spark, sf_dir), views.demand(spark, sf_dir), 1.0)
 
 
 def range_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,33 @@ def test_access_summary_makes_few_pairs(spark, dense, pairs):
 
 def test_catchment_summary_makes_few_pairs(spark, dense, pairs):
     nearest_work(spark, dense, pairs, "catchment_summary")
+
+
+def few_pairs(spark, dense, pairs, name):
+    """Before, a pair for each candidate and each customer about it."""
+    compare(spark, QUERIES[name], ORACLE_SQL[name], dense)
+    assert sum(pairs) <= 12 * 400
+
+
+def incidence_work(spark, dense, pairs, got, want):
+    pairs.clear()  # those of want
+    rows = sorted(map(tuple, got(spark, dense).collect()), key=repr)
+    assert sum(pairs) <= 12 * 400
+    assert rows == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_disc_sums_on_the_rim_and_of_odd_rows(spark):
+    """Points at exactly the radius, repeated places, nulls, and centers without a place or without points."""
+    rng = np.random.default_rng(4)
+    pts = [(float(x), float(y), int(w)) for x, y, w in zip(rng.integers(0, 30, 400), rng.integers(0, 30, 400), rng.integers(-9, 99, 400))]
+    odd = [(1.0, 1.0, None), (None, 2.0, 5), (2.0, float("nan"), 5), (float("inf"), 0.0, 5)]
+    ctr = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-3, 33, (80, 2)))] + [(80, 500.0, 500.0), (81, None, 0.0), (82, float("nan"), 0.0)]
+    points = spark.createDataFrame(pts + odd, "lon double, lat double, w long")
+    centers = spark.createDataFrame(ctr, "id long, lon double, lat double")
+    for radius in (5.0, 1.0, 70.0):
+        got = {r.id: r.w for r in spatial.disc_sums(centers, points, radius, ["w"]).collect()}
+        assert got == {i: sum(w for u, v, w in pts if np.sqrt((x - u) ** 2 + (y - v) ** 2) <= radius) for i, x, y in ctr[:81]}
+
+
+def test_served_population_makes_few_pairs(spark, dense, pairs):
+    few_pairs(spark, dense, pairs, "served_population")
