@@ -68,8 +68,7 @@ def cumulative_catchment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def max_cover_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    incidence = spatial.range_join(views.candidates(spark, sf_dir), views.demand(spark, sf_dir), 1.0)
-    return cover.greedy_max_cover(incidence, 5)
+    return discs.greedy_max_cover(views.candidates(spark, sf_dir), views.demand(spark, sf_dir), 1.0, 5)
 
 
 def _diamonds(spark: SparkSession, sf_dir: str) -> DataFrame:

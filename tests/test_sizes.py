@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from isoreach.operators import spatial
+from isoreach.operators import cover, spatial
+from isoreach.plans import selection
 from isoreach.plans.registry import ORACLE_SQL, QUERIES
 from oracle import compare
 
@@ -92,3 +93,7 @@ def test_disc_sums_on_the_rim_and_of_odd_rows(spark):
 
 def test_served_population_makes_few_pairs(spark, dense, pairs):
     few_pairs(spark, dense, pairs, "served_population")
+
+
+def test_max_cover_greedy_makes_few_pairs(spark, dense, pairs):
+    few_pairs(spark, dense, pairs, "max_cover_greedy")
