@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics, cover, solve, spatial
+from ..operators import analytics, cover, discs, solve, spatial
 from . import views
 from .queries import _D, _STEPS, _V
 
@@ -16,6 +16,11 @@ def _incidence(spark: SparkSession, sf_dir: str, radius: float = 1.0) -> DataFra
     return spatial.range_join(views.candidates(spark, sf_dir), views.demand(spark, sf_dir), radius).select("facility_id", "demand_id", "weight")
 
 
+def _places(spark: SparkSession, sf_dir: str, radius: float = 1.0) -> tuple[DataFrame, DataFrame, float]:
+    """What _incidence is made of, for the operators that need no pairs."""
+    return views.candidates(spark, sf_dir), views.demand(spark, sf_dir), radius
+
+
 def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objectives by method and budget, of the orders' prices by priority and month."""
     rows = views.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("method"), F.month("o_orderdate").alias("budget"), F.floor("o_totalprice").cast("long").alias("x"))
@@ -50,7 +55,7 @@ def drop_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def swap_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cover.swap_deltas(_incidence(spark, sf_dir), SOLUTION)
+    return discs.swap_deltas(*_places(spark, sf_dir), SOLUTION)
 
 
 def swap_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,7 @@ def test_served_population_makes_few_pairs(spark, dense, pairs):
 
 def test_max_cover_greedy_makes_few_pairs(spark, dense, pairs):
     few_pairs(spark, dense, pairs, "max_cover_greedy")
+
+
+def test_swap_deltas_makes_few_pairs(spark, dense, pairs):
+    few_pairs(spark, dense, pairs, "swap_deltas")
