@@ -47,7 +47,7 @@ def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def add_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cover.add_deltas(_incidence(spark, sf_dir), SOLUTION)
+    return discs.add_deltas(*_places(spark, sf_dir), SOLUTION)
 
 
 def drop_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:

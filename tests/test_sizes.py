@@ -101,3 +101,7 @@ def test_max_cover_greedy_makes_few_pairs(spark, dense, pairs):
 
 def test_swap_deltas_makes_few_pairs(spark, dense, pairs):
     few_pairs(spark, dense, pairs, "swap_deltas")
+
+
+def test_add_deltas_makes_few_pairs(spark, dense, pairs):
+    few_pairs(spark, dense, pairs, "add_deltas")
