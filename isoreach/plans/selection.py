@@ -43,7 +43,7 @@ def residual_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cover.coverage_counts(_incidence(spark, sf_dir), SOLUTION)
+    return discs.coverage_counts(*_places(spark, sf_dir), SOLUTION)
 
 
 def add_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:

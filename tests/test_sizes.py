@@ -105,3 +105,7 @@ def test_swap_deltas_makes_few_pairs(spark, dense, pairs):
 
 def test_add_deltas_makes_few_pairs(spark, dense, pairs):
     few_pairs(spark, dense, pairs, "add_deltas")
+
+
+def test_coverage_counts_makes_few_pairs(spark, dense, pairs):
+    few_pairs(spark, dense, pairs, "coverage_counts")
