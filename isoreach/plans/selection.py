@@ -75,7 +75,7 @@ def set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def budget_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cover.greedy_curve(_incidence(spark, sf_dir), [3, 1, -2, 5, 3, 0])
+    return discs.greedy_curve(*_places(spark, sf_dir), [3, 1, -2, 5, 3, 0])
 
 
 def best_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:

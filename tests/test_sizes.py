@@ -109,3 +109,7 @@ def test_add_deltas_makes_few_pairs(spark, dense, pairs):
 
 def test_coverage_counts_makes_few_pairs(spark, dense, pairs):
     few_pairs(spark, dense, pairs, "coverage_counts")
+
+
+def test_budget_curve_makes_few_pairs(spark, dense, pairs):
+    few_pairs(spark, dense, pairs, "budget_curve")
