@@ -51,7 +51,7 @@ def add_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cover.drop_deltas(_incidence(spark, sf_dir), SOLUTION)
+    return discs.drop_deltas(*_places(spark, sf_dir), SOLUTION)
 
 
 def swap_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:

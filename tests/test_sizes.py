@@ -113,3 +113,7 @@ def test_coverage_counts_makes_few_pairs(spark, dense, pairs):
 
 def test_budget_curve_makes_few_pairs(spark, dense, pairs):
     few_pairs(spark, dense, pairs, "budget_curve")
+
+
+def test_drop_deltas_makes_few_pairs(spark, dense, pairs):
+    few_pairs(spark, dense, pairs, "drop_deltas")
