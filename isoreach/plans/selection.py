@@ -71,7 +71,7 @@ def deployment_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cover.greedy_set_cover(_incidence(spark, sf_dir, 4.0))
+    return discs.greedy_set_cover(*_places(spark, sf_dir, 4.0))
 
 
 def budget_curve(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,3 +117,7 @@ def test_budget_curve_makes_few_pairs(spark, dense, pairs):
 
 def test_drop_deltas_makes_few_pairs(spark, dense, pairs):
     few_pairs(spark, dense, pairs, "drop_deltas")
+
+
+def test_set_cover_makes_few_pairs(spark, dense, pairs):
+    incidence_work(spark, dense, pairs, selection.set_cover, cover.greedy_set_cover(selection._incidence(spark, dense, 4.0)))
