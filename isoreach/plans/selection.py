@@ -59,7 +59,7 @@ def swap_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def swap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cover.swap_search(_incidence(spark, sf_dir, 2.0), SOLUTION[:3])
+    return discs.swap_search(*_places(spark, sf_dir, 2.0), SOLUTION[:3])
 
 
 def path_relinking(spark: SparkSession, sf_dir: str) -> DataFrame:

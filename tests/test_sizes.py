@@ -121,3 +121,7 @@ def test_drop_deltas_makes_few_pairs(spark, dense, pairs):
 
 def test_set_cover_makes_few_pairs(spark, dense, pairs):
     incidence_work(spark, dense, pairs, selection.set_cover, cover.greedy_set_cover(selection._incidence(spark, dense, 4.0)))
+
+
+def test_swap_search_makes_few_pairs(spark, dense, pairs):
+    incidence_work(spark, dense, pairs, selection.swap_search, cover.swap_search(selection._incidence(spark, dense, 2.0), selection.SOLUTION[:3]))
