@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analytics, cover, discs, solve, spatial
+from ..operators.tables import written
 from . import views
 from .queries import _D, _STEPS, _V
 
@@ -101,9 +102,10 @@ def falling_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exact_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small instances: every 12 candidates whose keys follow one another, budgets 1 to 3."""
-    rows = _incidence(spark, sf_dir).withColumn("instance_id", F.floor(F.col("facility_id") / 12).cast("long"))
-    budgets = rows.select("instance_id").distinct().withColumn("budget", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
-    return solve.exact_cover(rows, budgets).withColumn("solution", F.array_join("solution", ","))
+    sites, people, radius = _places(spark, sf_dir)
+    sets = written(discs.covered_sets(sites.withColumn("instance_id", F.floor(F.col("facility_id") / 12).cast("long")), people, radius), "sets")
+    budgets = sets.select("instance_id").distinct().withColumn("budget", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
+    return solve.exact_cover_of_sets(sets, budgets).withColumn("solution", F.array_join("solution", ","))
 
 
 def location_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from isoreach.operators import cover, spatial
+from isoreach.operators import cover, solve, spatial
 from isoreach.plans import selection
 from isoreach.plans.registry import ORACLE_SQL, QUERIES
 from oracle import compare
@@ -125,3 +126,11 @@ def test_set_cover_makes_few_pairs(spark, dense, pairs):
 
 def test_swap_search_makes_few_pairs(spark, dense, pairs):
     incidence_work(spark, dense, pairs, selection.swap_search, cover.swap_search(selection._incidence(spark, dense, 2.0), selection.SOLUTION[:3]))
+
+
+def test_exact_cover_makes_few_pairs(spark, dense, pairs):
+    """The objectives and solutions of the pairs themselves."""
+    rows = selection._incidence(spark, dense).withColumn("instance_id", F.floor(F.col("facility_id") / 12).cast("long"))
+    budgets = rows.select("instance_id").distinct().withColumn("budget", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
+    want = solve.exact_cover(rows, budgets).withColumn("solution", F.array_join("solution", ","))
+    incidence_work(spark, dense, pairs, selection.exact_cover, want)
