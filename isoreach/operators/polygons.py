@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import cell
+from .spatial import cell, located
 
 
 def ring_place(x: Column, y: Column, ring: Column) -> Column:
@@ -41,11 +45,64 @@ def within_join(points: DataFrame, polygons: DataFrame, size: float, boundary: b
     return met.where(place >= 0 if boundary else place == 1).drop("ring")
 
 
+def _rings(polygons: DataFrame, size: float) -> DataFrame:
+    """Polygons with the coordinates of their rings as arrays, copied to the cells that their boxes meet."""
+    of = lambda c: F.transform("ring", lambda p: p[c].cast("double")).alias(f"ring_{c}")
+    named = polygons.where("ring is not null and size(ring) > 2").select("*", of("x"), of("y")).drop("ring")
+    cells = lambda c: F.explode(F.sequence(cell(F.array_min(f"ring_{c}"), size), cell(F.array_max(f"ring_{c}"), size)))
+    return named.withColumn("cell_x", cells("x")).withColumn("cell_y", cells("y"))
+
+
+def _ring_places(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray) -> np.ndarray:
+    """ring_place of many points and one ring."""
+    on, odd = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    for ax, ay, bx, by in zip(rx.tolist(), ry.tolist(), np.roll(rx, -1).tolist(), np.roll(ry, -1).tolist()):
+        side = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        on |= (side == 0) & (x >= min(ax, bx)) & (x <= max(ax, bx)) & (y >= min(ay, by)) & (y <= max(ay, by))
+        odd ^= ((ay > y) != (by > y)) & (side > 0 if by > ay else side < 0)
+    return np.where(on, 0, np.where(odd, 1, -1))
+
+
+def _met(points: DataFrame, rings: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], size: float, schema: str) -> DataFrame:
+    """work on the points and the rings of each cell; a task holds these."""
+    at = located(points).withColumns({"cell_x": cell(F.col("lon"), size), "cell_y": cell(F.col("lat"), size)})
+    n = 2 * points.sparkSession.sparkContext.defaultParallelism
+    dealt = lambda df: df.repartition(n, "cell_x", "cell_y").groupBy("cell_x", "cell_y")
+    return dealt(at).cogroup(dealt(rings)).applyInPandas(work, schema)
+
+
+def _inside(points: pd.DataFrame, rings: pd.DataFrame, boundary: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each ring the positions of the points within it, or on it with boundary; points are in the order of lon."""
+    x, y = points["lon"].to_numpy(float), points["lat"].to_numpy(float)
+    for i, (rx, ry) in enumerate(zip(rings["ring_x"], rings["ring_y"])):
+        lo, hi = np.searchsorted(x, np.nanmin(rx), "left"), np.searchsorted(x, np.nanmax(rx), "right")
+        at = lo + np.flatnonzero((y[lo:hi] >= np.nanmin(ry)) & (y[lo:hi] <= np.nanmax(ry)))
+        if len(at):
+            yield i, at[_ring_places(x[at], y[at], rx, ry) >= (0 if boundary else 1)]
+
+
 def clip(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """The points that lie within or on any polygon, each row once as often as it stands."""
-    numbered = points.withColumn("point_row", F.struct(*points.columns))
-    inside = within_join(numbered.select("lon", "lat", "point_row").distinct(), polygons.select("ring"), size, boundary=True).select("point_row").distinct()
-    return numbered.join(inside.withColumnRenamed("point_row", "hit"), F.col("point_row").eqNullSafe(F.col("hit")), "left_semi").drop("point_row")
+    """The points that lie within or on any polygon, each row once as often as it stands.
+
+    Places are tested until a polygon holds them, the larger polygons of a cell first."""
+
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rest, hits = a[["lon", "lat"]].sort_values("lon"), []
+        spans = [np.ptp(rx) * np.ptp(ry) for rx, ry in zip(b["ring_x"], b["ring_y"])]
+        order = np.argsort(spans, kind="stable")[::-1] if len(b) else []
+        for at in range(0, len(order), 16):
+            if not len(rest):
+                break
+            found = [k for _, k in _inside(rest, b.iloc[order[at : at + 16]], True)]
+            held = np.zeros(len(rest), bool)
+            for k in found:
+                held[k] = True
+            hits.append(rest[held])
+            rest = rest[~held]
+        return pd.concat(hits) if hits else a[["lon", "lat"]].iloc[:0]
+
+    inside = _met(points.select("lon", "lat").distinct(), _rings(polygons.select("ring").distinct(), size), work, size, "lon double, lat double")
+    return points.join(inside, ["lon", "lat"], "left_semi").select(*points.columns)
 
 
 def served_by_isopolygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isoreach.operators import cover, solve, spatial
+from isoreach.operators import cover, polygons, solve, spatial
 from isoreach.plans import selection
 from isoreach.plans.registry import ORACLE_SQL, QUERIES
 from oracle import compare
@@ -154,3 +154,13 @@ def test_facility_location_of_a_large_island(spark):
     assert {r.demand_id: r.distance for r in got} == dict(enumerate(m[opened].min(axis=0)))
     now = cost(opened)
     assert all(cost([*opened, i]) >= now for i in set(range(220)) - set(opened)) and all(cost([x for x in opened if x != i]) >= now for i in opened)
+
+
+@pytest.fixture
+def no_pairs(monkeypatch):
+    """Fails where a polygon meets each point of its cells as a row of a join."""
+    monkeypatch.setattr(polygons, "within_join", lambda *args, **kwargs: pytest.fail("a row for each pair"))
+
+
+def test_clipped_demand_makes_no_pairs(spark, dense, no_pairs):
+    compare(spark, QUERIES["clipped_demand"], ORACLE_SQL["clipped_demand"], dense)
