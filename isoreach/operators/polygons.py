@@ -112,8 +112,19 @@ def served_by_isopolygons(points: DataFrame, polygons: DataFrame, size: float) -
     empty is an error."""
     if points.isEmpty() or polygons.isEmpty():
         raise ValueError("Input dataframes cannot be empty.")
-    found = within_join(points.select("point_id", "lon", "lat"), polygons, size)
-    lists = found.groupBy("facility_id", "distance_id").agg(F.sort_array(F.collect_set("point_id")).alias("point_ids"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*points.schema, *polygons.schema]}
+
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a = a.sort_values("lon")
+        ids = a["point_id"].to_numpy()
+        found = [(i, ids[at]) for i, at in _inside(a, b, False) if len(at)]
+        out = b[["facility_id", "distance_id"]].iloc[[i for i, _ in found]].reset_index(drop=True)
+        return out.assign(point_ids=pd.Series([x for _, x in found], dtype=object))
+
+    rows = points.select("point_id", "lon", "lat").where("point_id is not null")
+    schema = f"facility_id {kinds['facility_id']}, distance_id {kinds['distance_id']}, point_ids array<{kinds['point_id']}>"
+    found = _met(rows, _rings(polygons.select("facility_id", "distance_id", "ring"), size), work, size, schema)
+    lists = found.groupBy("facility_id", "distance_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("point_ids")))).alias("point_ids"))
     keys = polygons.select("facility_id", "distance_id").distinct()
     none = F.array().cast(lists.schema["point_ids"].dataType)
     return keys.join(lists, ["facility_id", "distance_id"], "left").withColumn("point_ids", F.coalesce("point_ids", none))

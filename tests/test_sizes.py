@@ -164,3 +164,7 @@ def no_pairs(monkeypatch):
 
 def test_clipped_demand_makes_no_pairs(spark, dense, no_pairs):
     compare(spark, QUERIES["clipped_demand"], ORACLE_SQL["clipped_demand"], dense)
+
+
+def test_served_by_isopolygons_makes_no_pairs(spark, dense, no_pairs):
+    compare(spark, QUERIES["served_by_isopolygons"], ORACLE_SQL["served_by_isopolygons"], dense)
