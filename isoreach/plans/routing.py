@@ -99,7 +99,7 @@ def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cached_node_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The node pairs that a cache misses once those of even target nodes are in it, twice."""
     cache = matrix.NodePairCache(spark, f"{cover.shared_folder(spark)}/node-pairs-{uuid.uuid4().hex}")
-    pairs = matrix.node_pairs(_candidates(spark, sf_dir))
+    pairs = cover.written(matrix.node_pairs(_candidates(spark, sf_dir)), "node-pairs")
     known = _roads(pairs).where("target_node % 2 = 0")
     for _ in range(2):
         cache.put(known)

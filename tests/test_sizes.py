@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isoreach.operators import cover, polygons, solve, spatial
-from isoreach.plans import selection
+from isoreach.operators import cover, matrix, polygons, solve, spatial
+from isoreach.plans import selection, views
 from isoreach.plans.registry import ORACLE_SQL, QUERIES
 from oracle import compare
 
@@ -168,3 +168,13 @@ def test_clipped_demand_makes_no_pairs(spark, dense, no_pairs):
 
 def test_served_by_isopolygons_makes_no_pairs(spark, dense, no_pairs):
     compare(spark, QUERIES["served_by_isopolygons"], ORACLE_SQL["served_by_isopolygons"], dense)
+
+
+def test_cached_node_pairs_finds_candidates_once(spark, dense, monkeypatch):
+    """Before, each write to the cache and each look into it joined all candidates anew."""
+    seen, real = spark.sparkContext.accumulator(0), matrix.range_join
+    counted = F.udf(lambda x: seen.add(1) or True, "boolean")
+    monkeypatch.setattr(matrix, "range_join", lambda *args: real(*args).where(counted("distance")))
+    rows = QUERIES["cached_node_pairs"](spark, dense).count()
+    assert rows and seen.value <= real(views.existing(spark, dense), views.demand(spark, dense), np.degrees(100.0 / matrix.PREFILTER_KM)).count()
+    compare(spark, QUERIES["cached_node_pairs"], ORACLE_SQL["cached_node_pairs"], dense)
