@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .spatial import haversine_km, range_join
+from .tables import written
 
 #: Radius of the flat prefilter; degrees of longitude count as much as degrees of latitude.
 PREFILTER_KM = 6367.0
 #: Files of the cache are dealt by target node modulo this.
 CACHE_BUCKETS = 256
+#: Roads of so many node pairs are broadcast.
+MANY_ROADS = 1 << 18
 
 
 def candidate_pairs(targets: DataFrame, sources: DataFrame, threshold_km: float, max_total: float | None = None) -> DataFrame:
@@ -36,9 +39,13 @@ def node_pairs(candidates: DataFrame) -> DataFrame:
 
 def assemble(candidates: DataFrame, roads: DataFrame, max_total: float, snap_factor: float = 1.0) -> DataFrame:
     """(target_id, source_id, total): both snaps times the factor, and the road between the nodes;
-    pairs without a road or beyond max_total (inclusive bound) are left out."""
+    pairs without a road or beyond max_total (inclusive bound) are left out. Up to MANY_ROADS node pairs are
+    sent to the candidates, which then are not shuffled."""
+    held = written(roads, "roads")
+    if held.limit(MANY_ROADS + 1).count() <= MANY_ROADS:
+        held = F.broadcast(held)
     total = F.col("target_snap") * snap_factor + F.col("road") + F.col("source_snap") * snap_factor
-    return candidates.join(roads, ["target_node", "source_node"]).select("target_id", "source_id", total.alias("total")).where(F.col("total") <= max_total)
+    return candidates.join(held, ["target_node", "source_node"]).select("target_id", "source_id", total.alias("total")).where(F.col("total") <= max_total)
 
 
 class NodePairCache:

@@ -178,3 +178,10 @@ def test_cached_node_pairs_finds_candidates_once(spark, dense, monkeypatch):
     rows = QUERIES["cached_node_pairs"](spark, dense).count()
     assert rows and seen.value <= real(views.existing(spark, dense), views.demand(spark, dense), np.degrees(100.0 / matrix.PREFILTER_KM)).count()
     compare(spark, QUERIES["cached_node_pairs"], ORACLE_SQL["cached_node_pairs"], dense)
+
+
+def test_distance_matrix_does_not_shuffle_candidates(spark, dense):
+    """Before, all candidates were shuffled to the roads of 2500 node pairs."""
+    plan = QUERIES["distance_matrix"](spark, dense)._jdf.queryExecution().sparkPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join" in line and "target_node" in line)
+    assert "BroadcastHashJoin" in join
