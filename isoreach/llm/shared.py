@@ -44,10 +44,13 @@ class Stash:
         """Its bytes on disk times 6, which bounds what its rows take in memory."""
         return 6 * self._fs.getContentSummary(self._at).getLength()
 
-    def side(self, *cols, limit: int = BROADCAST_BYTES) -> DataFrame:
+    def side(self, *cols, limit: int = BROADCAST_BYTES, grows: bool = False) -> DataFrame:
         """The columns as a join's small side: with a broadcast hint if the measured size is within
-        the limit, else without, and the join is a shuffled one whose hot keys adaptive execution splits."""
+        the limit, else without, and the join is a shuffled one whose hot keys adaptive execution splits.
+        A side that grows with the table is shuffled whatever its size, so that a small table shows what a large one takes."""
         out = self.df.select(*cols) if cols else self.df
+        if grows:
+            return out.hint("merge")
         return F.broadcast(out) if self.bytes_in_memory() <= limit else out
 
     def drop(self) -> None:

@@ -272,11 +272,11 @@ def repeated_substrings(docs: DataFrame, length: int = 200, bucket_bytes: int =
     made = Stash(texts.select("tid", "data").mapInPandas(run_rows(length), "tid long, v long, lo int, hi int, at int, times int"), "runs")
     # written before the join, so that the shuffles of counting are gone when those of joining begin
     twice = Stash(made.df.groupBy("v").agg(F.sum("times").alias("n")).where("n > 1").select("v"), "twice")
-    kept = Stash(made.df.join(twice.side(), "v"), "held")
+    kept = Stash(made.df.join(twice.side(grows=True), "v"), "held")
     made.drop()
     by_text = Stash(kept.df.groupBy("tid").agg(F.collect_list(F.struct("v", "lo", "hi", "at", "times")).alias("runs")), "by-text")
     shape = "lead binary, v long, salt long, body binary, times int, tids array<long>, los array<int>"
-    bodies = Stash(texts.select("tid", "data").join(by_text.side(), "tid").mapInPandas(body_rows(length), shape), "bodies")
+    bodies = Stash(texts.select("tid", "data").join(by_text.side(grows=True), "tid").mapInPandas(body_rows(length), shape), "bodies")
     kept.drop()
     by_text.drop()
     weight = F.octet_length("body") + 16 * F.size("tids")
@@ -293,14 +293,14 @@ def repeated_substrings(docs: DataFrame, length: int = 200, bucket_bytes: int =
     across = Stash(edges.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "across")
     hits = edges.where("tid is not null").join(across.side(), "digest").select("tid", "lo", "hi")
     spans = Stash(compared.df.where("digest is null").select("tid", "lo", "hi").union(hits).groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    single = texts.where("copies = 1").select("tid", "digest", "data").join(spans.side(), "tid").select("digest", "data", "spans")
+    single = texts.where("copies = 1").select("tid", "digest", "data").join(spans.side(grows=True), "tid").select("digest", "data", "spans")
     shape = "digest binary, n_removed long, n_spans long, kept_sha256 string, kept_text string, cut_spans array<struct<start:int,end:int>>"
     cuts = single.mapInPandas(cut, shape)
     whole = texts.where("copies > 1").select("digest", F.octet_length("data").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), F.lit("").alias("kept_text"), F.array(F.struct(F.lit(0).alias("start"), F.octet_length("data").alias("end"))).alias("cut_spans"))
     found = Stash(cuts.union(whole), "cuts")
     for done in (several, stored, twice, compared, across, spans):
         done.drop()
-    out = keyed.join(found.side(), "digest", "left")
+    out = keyed.join(found.side(grows=True), "digest", "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     zero = F.lit(0).cast("long")
     return out.select(
