@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     for done in (several, sketch, labels):
         if done is not None:
             done.drop()
-    out = keyed.join(classes.side(), "nd_key", "left")
+    out = keyed.join(classes.side(grows=True), "nd_key", "left")
     # an empty text is a class of its own document, not of all empty texts
     own = F.coalesce(F.col("n_shingles"), F.lit(0)) == 0
     component = F.when(F.col("doc_id").isNotNull(), F.when(own, F.col("doc_id")).otherwise(F.col("comp")))
