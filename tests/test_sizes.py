@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isoreach.operators import cover, matrix, polygons, solve, spatial
+from isoreach.operators import cover, discs, matrix, polygons, solve, spatial
 from isoreach.plans import selection, views
 from isoreach.plans.registry import ORACLE_SQL, QUERIES
 from oracle import compare
@@ -122,6 +122,49 @@ def test_drop_deltas_makes_few_pairs(spark, dense, pairs):
     few_pairs(spark, dense, pairs, "drop_deltas")
 
 
+def test_coverage_transpose_makes_few_pairs(spark, dense, pairs):
+    few_pairs(spark, dense, pairs, "coverage_transpose")
+
+
+def test_lists_of_odd_rows(spark):
+    """Points at exactly the radius, repeated rows and places, ids of many lengths, rows without a place; a cell in several batches."""
+    rng = np.random.default_rng(6)
+    ids = [*range(-12, 13), *(10 ** k + j for k in range(2, 19) for j in (-1, 0, 1)), -(2 ** 63), 2 ** 63 - 1, *range(5000, 5300)]
+    demand = [(i, float(x), float(y)) for i, (x, y) in zip(ids, rng.integers(0, 30, (len(ids), 2)))]
+    sites = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-3, 33, (90, 2)))] + [(90, 500.0, 500.0)]
+    odd = [(1000, None, 2.0), (1001, 2.0, float("nan")), (1002, float("inf"), 0.0)]
+    of = lambda rows, key: spark.createDataFrame(rows, f"{key} long, lon double, lat double")
+    a, b = of(sites + odd + sites[:5], "facility_id"), of(demand + odd + demand[:7], "demand_id").withColumn("weight", F.lit(1).cast("long"))
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(rows)
+    try:
+        for radius, batch in ((5.0, was), (5.0, "7"), (1.0, "50"), (70.0, "64")):
+            spark.conf.set(rows, batch)
+            lists = {f: sorted(d for d, u, v in demand if np.sqrt((x - u) ** 2 + (y - v) ** 2) <= radius) for f, x, y in sites}
+            back = {d: sorted(f for f, x, y in sites if np.sqrt((x - u) ** 2 + (y - v) ** 2) <= radius) for d, u, v in demand}
+            lists, back = ({k: x for k, x in of.items() if x} for of in (lists, back))
+            text = lambda of: sorted((k, len(x), ",".join(map(str, x))) for k, x in of.items())
+            assert sorted(map(tuple, discs.demand_lists(a, b, radius).collect())) == text(lists)
+            assert sorted(map(tuple, discs.facility_lists(a, b, radius).collect())) == text(back)
+            pairs = cover.demand_lists(spatial.range_join(spatial.located(a), spatial.located(b), radius))
+            assert {r.facility_id: r.demand for r in pairs.collect()} == lists
+            assert {r.demand_id: r.facilities for r in cover.facility_lists(pairs).collect()} == back
+    finally:
+        spark.conf.set(rows, was)
+    for x, y in ((a.limit(0), b), (a, b.limit(0))):
+        assert not discs.demand_lists(x, y, 1.0).collect() and not discs.facility_lists(x, y, 1.0).collect()
+
+
+def test_lists_of_a_cell_with_many_places(spark):
+    """3000 sites and 2000 customers in one cell: squares of it, and several batches of lists."""
+    place = lambda key, n, x, y: spark.range(n).selectExpr(f"id * 3 as {key}", f"double(id * {x} % 997) / 1000 as lon", f"double(id * {y} % 991) / 1000 as lat", "1L as weight")
+    sites, demand = place("facility_id", 3000, 389, 577).drop("weight"), place("demand_id", 2000, 211, 733)
+    f, d = sites.toPandas(), demand.toPandas()
+    near = np.sqrt((f["lon"].to_numpy()[:, None] - d["lon"].to_numpy()) ** 2 + (f["lat"].to_numpy()[:, None] - d["lat"].to_numpy()) ** 2) <= 0.4
+    got = {r.facility_id: (r.n, r.demand) for r in discs.demand_lists(sites, demand, 0.4).collect()}
+    assert got == {i: (int(row.sum()), ",".join(map(str, d["demand_id"][row]))) for i, row in zip(f["facility_id"].tolist(), near) if row.any()}
+
+
 def test_set_cover_makes_few_pairs(spark, dense, pairs):
     incidence_work(spark, dense, pairs, selection.set_cover, cover.greedy_set_cover(selection._incidence(spark, dense, 4.0)))
 
