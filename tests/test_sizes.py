@@ -122,6 +122,10 @@ def test_drop_deltas_makes_few_pairs(spark, dense, pairs):
     few_pairs(spark, dense, pairs, "drop_deltas")
 
 
+def test_coverage_lists_makes_few_pairs(spark, dense, pairs):
+    few_pairs(spark, dense, pairs, "coverage_lists")
+
+
 def test_coverage_transpose_makes_few_pairs(spark, dense, pairs):
     few_pairs(spark, dense, pairs, "coverage_transpose")
 
