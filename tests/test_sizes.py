@@ -166,7 +166,13 @@ def test_lists_of_a_cell_with_many_places(spark):
     f, d = sites.toPandas(), demand.toPandas()
     near = np.sqrt((f["lon"].to_numpy()[:, None] - d["lon"].to_numpy()) ** 2 + (f["lat"].to_numpy()[:, None] - d["lat"].to_numpy()) ** 2) <= 0.4
     got = {r.facility_id: (r.n, r.demand) for r in discs.demand_lists(sites, demand, 0.4).collect()}
-    assert got == {i: (int(row.sum()), ",".join(map(str, d["demand_id"][row]))) for i, row in zip(f["facility_id"].tolist(), near) if row.any()}
+    want = {i: (int(row.sum()), ",".join(map(str, d["demand_id"][row]))) for i, row in zip(f["facility_id"].tolist(), near) if row.any()}
+    assert got == want
+    # and dealt in parts, over several tasks where one held the cell
+    lists = spatial.disc_lists(sites, demand, 2.0, "facility_id", "demand_id", most=100).withColumn("task", F.spark_partition_id())
+    rows = lists.collect()
+    assert len({r.facility_id for r in rows}) == len(rows) == 3000 and len({r.task for r in rows}) > 8
+    assert {(r.n, r.demand_id) for r in rows} == {(2000, ",".join(map(str, d["demand_id"])))}
 
 
 def test_set_cover_makes_few_pairs(spark, dense, pairs):
