@@ -117,10 +117,8 @@ def location_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facility_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An island is a nation: all its suppliers and customers. Customers of a nation without suppliers reach none."""
     places = lambda view, key, table, nation: view.join(views.table(spark, sf_dir, table).select(F.col(f"{table[0]}_{key}").alias(view.columns[0]), F.col(nation).alias("island")), view.columns[0])
-    sites = places(views.existing(spark, sf_dir), "suppkey", "supplier", "s_nationkey").select("island", F.col("facility_id").alias("site_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    rows = places(views.demand(spark, sf_dir), "custkey", "customer", "c_nationkey").join(sites, "island")
-    distance = F.floor(spatial.planar(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")) * 1000).cast("double")
-    return solve.facility_location(rows.select("island", "site_id", "demand_id", "weight", distance.alias("distance")), 300.0)
+    sites = places(views.existing(spark, sf_dir), "suppkey", "supplier", "s_nationkey").withColumnRenamed("facility_id", "site_id")
+    return solve.facility_location_of_places(sites, places(views.demand(spark, sf_dir), "custkey", "customer", "c_nationkey"), 300.0, 1000.0)
 
 
 QUERIES = {f.__name__: f for f in (

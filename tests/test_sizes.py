@@ -209,6 +209,29 @@ def test_facility_location_of_a_large_island(spark):
     assert all(cost([*opened, i]) >= now for i in set(range(220)) - set(opened)) and all(cost([x for x in opened if x != i]) >= now for i in opened)
 
 
+def test_facility_location_makes_no_matrix(spark, dense):
+    """Before, a row for each site and each customer of an island was shuffled to one task, which held them."""
+    plan = QUERIES["facility_location"](spark, dense)._jdf.queryExecution().sparkPlan().toString()
+    assert not any("Join" in line and "island" in line for line in plan.splitlines())
+
+
+def test_facility_location_of_places_as_of_their_matrix(spark):
+    """Islands of few and many open sites, equal distances, repeated rows and places, no weight, rows without a place, one site, no site, no demand."""
+    rng = np.random.default_rng(8)
+    sites, demand = [(90, 1, 2.0, 2.0), (91, 1, 0.0, 0.0), (0, 1000, None, 1.0)], [(90, 5, 1.0, 1.0, 4), (90, 6, 2.0, 0.0, 0), (92, 1, 0.0, 0.0, 3), (0, 1000, 1.0, float("nan"), 7)]
+    for island in range(12):
+        wide, n, m = (12, 40, 150) if island % 2 else (1000, 25, 60)
+        sites += [(island, 7 * i % 41, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, wide, (n, 2)))]
+        demand += [(island, i, float(x), float(y), int(w)) for i, (x, y, w) in enumerate(zip(rng.integers(0, wide, m), rng.integers(0, wide, m), rng.integers(0, 9, m)))]
+    a = spark.createDataFrame(sites + sites[9:12], "island long, site_id long, lon double, lat double")
+    b = spark.createDataFrame(demand + demand[9:12], "island long, demand_id long, lon double, lat double, weight long")
+    far = F.floor(spatial.planar(F.col("x"), F.col("y"), F.col("lon"), F.col("lat")) * 3).cast("double").alias("distance")
+    met = spatial.located(a).withColumnsRenamed({"lon": "x", "lat": "y"}).join(spatial.located(b), "island").select("island", "site_id", "demand_id", "weight", far)
+    for setup in (1.0, 20.0, 300.0):
+        want = sorted(map(tuple, solve.facility_location(met, setup).collect()))
+        assert sorted(map(tuple, solve.facility_location_of_places(a, b, setup, 3.0).collect())) == want and len(want) == 12 * 105 + 2
+
+
 @pytest.fixture
 def no_pairs(monkeypatch):
     """Fails where a polygon meets each point of its cells as a row of a join."""
