@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spatial import haversine_km, range_join
+from .spatial import cell_parts, dealt_parts, haversine_km, range_join, read_parts, squares
 from .tables import written
 
 #: Radius of the flat prefilter; degrees of longitude count as much as degrees of latitude.
@@ -48,6 +50,113 @@ def assemble(candidates: DataFrame, roads: DataFrame, max_total: float, snap_fac
     return candidates.join(held, ["target_node", "source_node"]).select("target_id", "source_id", total.alias("total")).where(F.col("total") <= max_total)
 
 
+def _parts(targets: DataFrame, sources: DataFrame, threshold_km: float) -> tuple[DataFrame, float]:
+    """Targets and the sources about them by part of a cell, and the radius; rows without a node or snap reach nothing."""
+    radius = math.degrees(threshold_km / PREFILTER_KM)
+    if not (radius > 0 and math.isfinite(radius)):
+        raise ValueError("the threshold must be positive and finite")
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        component = F.coalesce(F.col("component").cast("long"), F.lit(-1)) if "component" in df.columns else F.lit(-1)
+        return df.where("node is not null and snap is not null").select(
+            F.col(f"{x}_id").cast("long").alias("id"), "lon", "lat", F.col("node").cast("long").alias("node"), F.col("snap").cast("double").alias("snap"), component.cast("long").alias("component"))
+
+    return cell_parts(side(targets, "target"), side(sources, "source"), radius), radius
+
+
+def _met(a: list[np.ndarray], b: list[np.ndarray], radius: float, max_snaps: float | None) -> np.ndarray:
+    """Which of the targets a (x, y, snap, component) and sources b meet as in candidate_pairs."""
+    u, v = a[0][:, None] - b[0], a[1][:, None] - b[1]
+    met = np.sqrt(u * u + v * v) <= radius
+    if max_snaps is not None:
+        met &= a[2][:, None] + b[2] <= max_snaps
+    if (a[3] >= 0).any() and (b[3] >= 0).any():
+        met &= (a[3][:, None] == b[3]) | (a[3] < 0)[:, None] | (b[3] < 0)
+    return met
+
+
+def _blocks(part: dict[int, list[np.ndarray]], radius: float, most: int) -> Iterator[tuple]:
+    """The targets of a part by groups that have at most about most node pairs with its sources: the different nodes of both
+    sides, and an iterator over blocks of targets and the sources about them (their ids, numbers of nodes, and x, y, snap and component)."""
+    (ids, x, y, node, snap, component), (jds, px, py, pnode, psnap, pcomponent) = part[1], part[0]
+    pnodes, pcode = np.unique(pnode, return_inverse=True)
+    n = max(1, most // len(pnodes))
+    for at in range(0, len(ids), n):
+        nodes, code = np.unique(node[at:at + n], return_inverse=True)
+        sides = [c[at:at + n] for c in (ids, x, y, snap, component)]
+
+        def blocks(sides=sides, code=code) -> Iterator[tuple]:
+            for square, close in squares(sides[1], sides[2], px, py, radius):
+                b = [c[close] for c in (jds, pcode, px, py, psnap, pcomponent)]
+                step = max(1, (1 << 16) // max(1, len(b[0])))
+                for rows in (square[i:i + step] for i in range(0, len(square) if len(b[0]) else 0, step)):
+                    a = [c[rows] for c in sides]
+                    yield a[0], code[rows], a[1:], b[0], b[1], b[2:]
+
+        yield nodes, pnodes, blocks()
+
+
+def asked_pairs(targets: DataFrame, sources: DataFrame, threshold_km: float, max_snaps: float | None = None, most: int = 1 << 22) -> DataFrame:
+    """node_pairs of the candidate_pairs, ids long, which are not made: a task holds the targets of a part of a cell and the
+    sources about it, and which of their node pairs it has met; pairs of places whose nodes have met are not measured."""
+    rows, radius = _parts(targets, sources, threshold_km)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in read_parts(batches):
+            for nodes, pnodes, blocks in _blocks(part, radius, most) if len(part) == 2 else ():
+                seen = np.zeros((len(nodes), len(pnodes)), bool)
+                for _, code, a, _, pcode, b in blocks:
+                    new = ~seen[code][:, pcode]
+                    if new.any():
+                        i, j = np.nonzero(new & _met(a, b, radius, max_snaps))
+                        seen[code[i], pcode[j]] = True
+                i, j = np.nonzero(seen)
+                for at in range(0, len(i), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[i[at:at + (1 << 16)]]), pa.array(pnodes[j[at:at + (1 << 16)]])], ["target_node", "source_node"])
+
+    return dealt_parts(rows).mapInArrow(work, "target_node long, source_node long").distinct()
+
+
+def distances(targets: DataFrame, sources: DataFrame, threshold_km: float, roads: DataFrame, max_total: float, max_snaps: float | None = None, snap_factor: float = 1.0, most: int = 1 << 21) -> DataFrame:
+    """assemble of the candidate_pairs, ids long, of which only those within max_total are rows. Of several roads of a node pair the least counts.
+
+    The roads go to the parts of cells that have their target nodes, up to MANY_ROADS of them by a broadcast.
+    """
+    rows, radius = _parts(targets, sources, threshold_km)
+    held = written(roads.groupBy("target_node", "source_node").agg(F.min("road").alias("road")), "roads")
+    if held.limit(MANY_ROADS + 1).count() <= MANY_ROADS:
+        held = F.broadcast(held)
+    at = ["cell_x", "cell_y", "part"]
+    here = rows.where("kind = 1").select(*at, F.col("node").alias("target_node")).distinct().join(held.where("road is not null"), "target_node")
+    none = F.lit(0.0)
+    here = here.select(*at, F.lit(-1).alias("kind"), F.col("source_node").cast("long").alias("id"), none.alias("lon"), none.alias("lat"), "target_node", F.col("road").cast("double").alias("snap"), F.lit(-1).cast("long").alias("component"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for part in read_parts(batches):
+            for nodes, pnodes, blocks in _blocks(part, radius, most) if len(part) == 3 else ():
+                table, (source, _, _, target, length, _) = np.full((len(nodes), len(pnodes)), np.nan), part[-1]
+                i, j = (np.minimum(np.searchsorted(of, x), len(of) - 1) for of, x in ((nodes, target), (pnodes, source)))
+                known = (nodes[i] == target) & (pnodes[j] == source)
+                table[i[known], j[known]] = length[known]
+                for ids, code, a, jds, pcode, b in blocks:
+                    total = (a[2] * snap_factor)[:, None] + table[code][:, pcode] + b[2] * snap_factor
+                    i, j = np.nonzero((total <= max_total) & _met(a, b, radius, max_snaps))
+                    out.append((ids[i], jds[j], total[i, j]))
+                    size += len(i)
+                    if size >= 1 << 17:
+                        yield _batch(out)
+                        out, size = [], 0
+        if size:
+            yield _batch(out)
+
+    return dealt_parts(rows.union(here)).mapInArrow(work, "target_id long, source_id long, total double")
+
+
+def _batch(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["target_id", "source_id", "total"])
+
+
 class NodePairCache:
     """Road distances of node pairs as Parquet by bucket of the target node, under a folder all executors share.
 

@@ -74,12 +74,17 @@ def shortest_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.routes(via, via).select("source", "node", F.array_join("path", ",").alias("path"))
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, float]:
+    """Targets and sources with their nodes, and the threshold in km."""
     def side(df: DataFrame, key: str, name: str) -> DataFrame:
         k = F.col(key)
         return df.select(k.alias(name), "lon", "lat", (k % 50).alias("node"), ((k % 7).cast("double") / 2).alias("snap"), (k % 3 - 1).alias("component"))
 
-    return matrix.candidate_pairs(side(views.demand(spark, sf_dir), "demand_id", "target_id"), side(views.existing(spark, sf_dir), "facility_id", "source_id"), 100.0, 5.0)
+    return side(views.demand(spark, sf_dir), "demand_id", "target_id"), side(views.existing(spark, sf_dir), "facility_id", "source_id"), 100.0
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.candidate_pairs(*_sides(spark, sf_dir), 5.0)
 
 
 def _roads(pairs: DataFrame) -> DataFrame:
@@ -92,8 +97,8 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = _candidates(spark, sf_dir)
-    return matrix.assemble(met, _roads(matrix.node_pairs(met)), 20.0, 1.5)
+    sides = _sides(spark, sf_dir)
+    return matrix.distances(*sides, _roads(matrix.asked_pairs(*sides, 5.0)), 20.0, 5.0, 1.5)
 
 
 def cached_node_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,3 +261,34 @@ def test_distance_matrix_does_not_shuffle_candidates(spark, dense):
     plan = QUERIES["distance_matrix"](spark, dense)._jdf.queryExecution().sparkPlan().toString()
     join = next(line for line in plan.splitlines() if "Join" in line and "target_node" in line)
     assert "BroadcastHashJoin" in join
+
+
+def test_distance_matrix_makes_no_candidate_rows(spark, dense, monkeypatch):
+    """Before, all candidates were rows of a join, once for the node pairs and once for the distances."""
+    monkeypatch.setattr(matrix, "range_join", lambda *args: pytest.fail("a row for each candidate"))
+    compare(spark, QUERIES["distance_matrix"], ORACLE_SQL["distance_matrix"], dense)
+
+
+def test_distances_of_odd_rows(spark):
+    """As of the candidates: places at exactly the radius and repeated, nodes of few and of many places, missing nodes, snaps,
+    components, places and roads, a road that is NaN, and groups of nodes that fill more than one table."""
+    rng = np.random.default_rng(9)
+    km = np.radians(5.0) * matrix.PREFILTER_KM
+    assert np.degrees(km / matrix.PREFILTER_KM) == 5.0  # whole places lie at exactly this
+
+    def side(name, n, nodes, components=True):
+        rows = [(i * 3, float(x), float(y), int(k), float(s) / 2, int(c)) for i, (x, y, k, s, c) in enumerate(zip(rng.integers(-2, 22, n), rng.integers(-2, 22, n), rng.integers(0, nodes, n), rng.integers(0, 9, n), rng.integers(-1, 3, n)))]
+        rows += rows[:4] + [(-1, None, 1.0, 1, 1.0, 0), (-2, 3.0, float("nan"), 1, 1.0, 0), (-3, 5.0, 5.0, None, 1.0, 0), (-4, 5.0, 5.0, 1, None, 0), (-5, 5.0, 5.0, 1, float("nan"), 0), (-6, 5.0, 5.0, 1, 0.5, None)]
+        out = spark.createDataFrame(rows, f"{name}_id long, lon double, lat double, node long, snap double, component long")
+        return out if components else out.drop("component")
+
+    for nodes, snaps, total, components, most in ((7, 5.0, 9.0, True, 1 << 20), (500, None, 60.0, True, 40), (40, 6.0, 25.0, False, 200)):
+        targets, sources = side("target", 230, nodes), side("source", 170, nodes, components)
+        met = matrix.candidate_pairs(targets, sources, km, snaps).where("target_node is not null and source_node is not null and target_snap is not null and source_snap is not null").cache()
+        asked = sorted(map(tuple, matrix.node_pairs(met).collect()))
+        assert sorted(map(tuple, matrix.asked_pairs(targets, sources, km, snaps, most).collect())) == asked and asked
+        road = F.when(F.expr("(target_node + source_node) % 10 = 0"), F.lit(float("nan"))).when(F.expr("target_node % 5 <> 1"), F.abs(F.col("target_node") - F.col("source_node")) / 3.0)
+        roads = matrix.node_pairs(met).where("source_node % 6 <> 2").withColumn("road", road)
+        want = sorted(map(tuple, matrix.assemble(met, roads, total, 1.5).collect()))
+        more = roads.union(roads.selectExpr("target_node", "source_node", "road + 1")).union(roads.selectExpr("source_node + 1000", "target_node", "1.0"))
+        assert sorted(map(tuple, matrix.distances(targets, sources, km, more, total, snaps, 1.5, most).collect())) == want and want
