@@ -1,6 +1,7 @@
 """Queries on more places than the tables have: the rows of the SQL, and how much work they make."""
 
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from isoreach.operators import cover, discs, matrix, polygons, solve, spatial
 from isoreach.plans import selection, views
 from isoreach.plans.registry import ORACLE_SQL, QUERIES
+from isoreach.sources import sinks
 from oracle import compare
 
 
@@ -175,6 +177,17 @@ def test_lists_of_a_cell_with_many_places(spark):
     assert {(r.n, r.demand_id) for r in rows} == {(2000, ",".join(map(str, d["demand_id"])))}
 
 
+@pytest.mark.parametrize("lists", [discs.demand_lists, discs.facility_lists])
+def test_lists_take_little_disk(spark, tmp_path, lists):
+    """Before, three fifths of their text; the lists of neighbours, which follow one another, are nearly equal."""
+    place = lambda key, n, x, y: spark.range(n).selectExpr(f"id * 3 as {key}", f"double(id * {x} % 9973) / 10000 as lon", f"double(id * {y} % 9967) / 10000 as lat", "1L as weight")
+    out = lists(place("facility_id", 4000, 3889, 5779).drop("weight"), place("demand_id", 4000, 2111, 7333), 0.4)
+    rows = {r[0]: r[2] for r in out.collect()}
+    assert sinks.write_table(out, str(tmp_path / "lists"))["rows"] == len(rows) == 4000
+    assert sum(f.stat().st_size for f in (tmp_path / "lists").glob("*.parquet")) < sum(map(len, rows.values())) / 8
+    assert {r[0]: r[2] for r in spark.read.parquet(str(tmp_path / "lists")).collect()} == rows
+
+
 def test_set_cover_makes_few_pairs(spark, dense, pairs):
     incidence_work(spark, dense, pairs, selection.set_cover, cover.greedy_set_cover(selection._incidence(spark, dense, 4.0)))
 
